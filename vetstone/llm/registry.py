@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from vetstone.llm.op08_suffix_dedup import op8_suffix_dedup
-from vetstone.llm.op09_substring_dedup import SQL as SQL9
-from vetstone.llm.op09_substring_dedup import op9_substring_dedup
+from vetstone.llm import op02_secret_ledger, op04_mpeg_audio, op05_packing, op06_minhash, op08_suffix_dedup, op09_substring_dedup
 
 QUERIES = {
-    "op8_suffix_dedup": op8_suffix_dedup,
-    "op9_substring_dedup": op9_substring_dedup,
+    "op2_secret_ledger": op02_secret_ledger.op2_secret_ledger,
+    "op4_mpeg_audio": op04_mpeg_audio.op4_mpeg_audio,
+    "op5_packing": op05_packing.op5_packing,
+    "op6_minhash": op06_minhash.op6_minhash,
+    "op8_suffix_dedup": op08_suffix_dedup.op8_suffix_dedup,
+    "op9_substring_dedup": op09_substring_dedup.op9_substring_dedup,
 }
 
-SQL = {"op9_substring_dedup": SQL9}
+#: Where SQL can express the whole result.
+SQL = {
+    "op2_secret_ledger": op02_secret_ledger.SQL,
+    "op9_substring_dedup": op09_substring_dedup.SQL,
+}
