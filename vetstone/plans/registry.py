@@ -1,10 +1,388 @@
-"""Queries over the driver's tables and their SQL twins."""
+"""Queries over the driver's tables and their SQL twins: the engine's operators, each over whole tables.
+
+Findings are derived from the tables that are there: secrets from documents, web exposures from pages, observations,
+scores and floods from lineitem and orders, a request log from events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vetstone import schema as S
+from vetstone.functions import hashing, paths, text
+from vetstone.functions import versions as V
+from vetstone.operators import advisories, enrich, merge, policy, probe, score, secrets, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- secrets -------------------------------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.concat("source", F.lit("/doc-"), "doc_id").alias("path"), "text")
+
+
+def _sha(value: Column) -> Column:
+    return F.substring(F.sha2(value, 256), 1, 16)
+
+
+_LINES = """
+l AS (
+  SELECT source || '/doc-' || doc_id AS path, unnest(range(1, len(x) + 1)) AS line, unnest(x) AS t
+  FROM (SELECT doc_id, source, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS x
+        FROM (SELECT doc_id, source, string_split_regex(coalesce(text, ''), '\\r?\\n') AS x FROM documents)))"""
+_KEYWORDS = "api[_-]?key|api[_-]?secret|secret[_-]?key|auth[_-]?token|access[_-]?token|client[_-]?secret|passwd|password"
+_HITS = f"""
+h AS (
+  SELECT path, line, 'aws-access-key-id' AS rule_id, 'high' AS severity, 'proven' AS confidence, unnest(regexp_extract_all(t, '\\b(AKIA[0-9A-Z]{{16}})\\b', 1)) AS value FROM l
+  UNION ALL SELECT path, line, 'twilio-api-key', 'high', 'corroborated', unnest(regexp_extract_all(t, '\\b(SK[a-f0-9]{{32}})\\b', 1)) FROM l
+  UNION ALL SELECT path, line, 'keyword-context-secret', 'medium', 'heuristic', unnest(regexp_extract_all(t, '(?i)\\b(?:{_KEYWORDS})\\b\\s*[:=]\\s*["'']([0-9a-z+/_-]{{16,128}})["'']', 1)) FROM l),
+g AS (
+  SELECT path, line, t, string_split_regex(t, '[A-Za-z0-9+/_\\-]{{20,}}') AS b, regexp_extract_all(t, '[A-Za-z0-9+/_\\-]{{20,}}') AS c
+  FROM l ANTI JOIN h USING (path, line) WHERE regexp_matches(t, '[A-Za-z0-9+/_\\-]{{20,}}')),
+k AS (SELECT path, line, b, c, unnest(range(1, len(c) + 1)) AS i FROM g),
+e AS (
+  SELECT path, line, i, c[i] AS value, list_aggregate(list_transform(list_zip(b[1:i], c[1:i - 1] || ['']), lambda p: p[1] || p[2]), 'string_agg', '') AS before,
+    (SELECT -sum(n / length(c[i]) * log2(n / length(c[i]))) FROM (SELECT count(*)::DOUBLE AS n FROM (SELECT unnest(string_split(c[i], '')) AS x) GROUP BY x)) AS h
+  FROM k),
+s AS (
+  SELECT * FROM h UNION ALL
+  SELECT path, line, 'high-entropy-string', 'medium', 'heuristic', value FROM e
+  WHERE round(h, 9) >= 4 AND NOT regexp_matches(before, '://[^\\s"''`<>()\\[\\]{{}}]*$')
+    AND NOT (regexp_full_match(value, '[0-9A-Fa-f]+') AND length(value) IN (32, 40, 56, 64, 96, 128))
+    AND NOT regexp_full_match(value, '[0-9A-Fa-f]{{8}}(-[0-9A-Fa-f]{{4}}){{3}}-[0-9A-Fa-f]{{12}}'))"""
+
+
+@query(f"WITH {_LINES}, {_HITS} SELECT path, CAST(line AS BIGINT) AS line, rule_id, severity, confidence, substr(sha256(value), 1, 16) AS fingerprint, CASE WHEN length(value) > 8 THEN substr(value, 1, 2) || '****' || substr(value, -2) ELSE repeat('*', length(value)) END AS mask FROM s")
+def secret_lines(spark, sf_dir):
+    """Provider rules, the entropy fallback and the noise rules over all lines of all documents."""
+    return secrets.emissions(secrets.detect(_files(spark, sf_dir)), _sha).drop("engine_id")
+
+
+@query(f"""WITH {_LINES}, {_HITS} SELECT rule_id, path, substr(sha256(value), 1, 16) AS fingerprint, CAST(count(*) AS BIGINT) AS seen, CAST(min(line) AS BIGINT) AS first_line, max(severity) AS severity,
+  100.0 * CASE max(severity) WHEN 'high' THEN 0.75 ELSE 0.5 END * 0.7 * 0.55 * CASE max(confidence) WHEN 'proven' THEN 1.0 WHEN 'corroborated' THEN 0.85 ELSE 0.7 END * 1.0 AS risk
+  FROM s GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY rule_id, path, fingerprint").replace("100.0 * CASE", "round(100.0 * (CASE").replace("* 1.0 AS risk", "* 1.0), 6) AS risk"))
+def secret_findings_merged(spark, sf_dir):
+    """Observations of one secret in one file merged, with a fingerprint and a score."""
+    seen = secrets.emissions(secrets.detect(_files(spark, sf_dir)), _sha)
+    out = seen.groupBy("rule_id", "path", "fingerprint").agg(F.count(F.lit(1)).alias("seen"), F.min("line").alias("first_line"), F.max("severity").alias("severity"), F.max("confidence").alias("c"))
+    none = F.lit(None).cast("string")
+    s = score.score(F.col("severity"), F.lit(False), F.lit("no_cve"), F.lit(None).cast("double"), F.col("c"), none, none)
+    return out.withColumn("risk", F.round(s["risk_score"], 6)).drop("c")
+
+
+@query()
+def secret_findings_ranked(spark, sf_dir):
+    """The whole path: detect, merge by identity, id, score, rank. Ids are BLAKE3, which SQL doesn't have."""
+    found = merge.merge(secrets.raw(secrets.emissions(secrets.detect(_files(spark, sf_dir)), hashing.fingerprint_udf)))
+    none = F.lit(None).cast("string")
+    s = score.score(F.col("severity"), F.lit(False), F.lit("no_cve"), F.lit(None).cast("double"), F.col("confidence"), none, none)
+    i = F.col("identity")
+    out = found.withColumn("finding_id", hashing.finding_id_udf(i["finding_class"], i["f1"], i["f2"], i["f3"])).withColumn("s", s)
+    return out.select("finding_id", i["f1"].alias("rule_id"), F.col("location.path").alias("path"), F.col("location.line").alias("line"), "title", "severity", "confidence", "s.risk_score", F.lit("open").alias("status")).orderBy(F.desc("risk_score"), "finding_id")
+
+
+# ---- merge ---------------------------------------------------------------------------------------------------------
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as observations: an engine in three saw a weakness of a part at a supplier."""
+    li = read(spark, sf_dir, "lineitem")
+    fixed = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("1."), "l_linenumber"))
+    return li.select(
+        F.concat(F.lit("engine-"), F.col("l_linenumber") % 3).alias("engine_id"), F.concat(F.lit("rule-"), "l_returnflag").alias("rule_id"),
+        F.struct(F.lit("structural_pattern").alias("finding_class"), F.col("l_partkey").cast("string").alias("f1"), F.concat(F.lit(".//src/"), "l_suppkey").alias("f2"), F.lit("h").alias("f3")).alias("identity"),
+        F.concat(F.lit("t"), "l_linenumber").alias("title"), F.lit(None).cast("string").alias("description"),
+        F.when(F.col("l_returnflag") == "A", "high").when(F.col("l_returnflag") == "N", "low").otherwise("critical").alias("severity"),
+        F.when(F.col("l_linenumber") <= 2, "heuristic").otherwise("unconfirmed").alias("confidence"),
+        F.struct(F.lit("repository").alias("kind"), F.lit("r").alias("identifier")).alias("asset"),
+        F.struct(F.concat(F.lit("src/"), "l_suppkey").alias("path"), F.col("l_orderkey").alias("line")).alias("location"),
+        F.array().cast(S.EVIDENCE).alias("evidence"),
+        F.when(fixed.isNotNull(), F.struct(F.lit(True).alias("fix_available"), fixed.alias("fixed_version"), F.lit(None).cast("string").alias("summary"))).alias("remediation"),
+        F.array(F.concat(F.lit("CWE-"), F.col("l_linenumber"))).alias("cwe"),
+    )
+
+
+@query("""
+WITH r AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS part, 'src/' || l_suppkey AS path, 'engine-' || (l_linenumber % 3) AS engine, 'rule-' || l_returnflag AS rule,
+    CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 1 ELSE 4 END AS s, CASE WHEN l_linenumber <= 2 THEN 1 ELSE 0 END AS c,
+    't' || l_linenumber AS title, l_orderkey AS line, 'CWE-' || l_linenumber AS cwe, CASE WHEN l_linestatus = 'F' THEN '1.' || l_linenumber END AS fix FROM lineitem)
+SELECT part, path, ['informational', 'low', 'medium', 'high', 'critical'][max(s) + 1] AS severity,
+  ['unconfirmed', 'heuristic', 'corroborated', 'proven'][CASE WHEN count(DISTINCT engine) >= 2 THEN greatest(max(c), 2) ELSE max(c) END + 1] AS confidence,
+  array_to_string(list_sort(list_distinct(list(engine || '/' || rule))), ',') AS sources, array_to_string(list_sort(list_distinct(list(cwe))), ',') AS cwe,
+  arg_min(line, {'e': engine, 'r': rule, 't': title, 'l': line}) AS line, arg_min(title, {'e': engine, 'r': rule, 't': title, 'l': line}) AS title,
+  arg_max(fix, {'e': engine, 'r': rule, 't': title, 'l': line}) FILTER (fix IS NOT NULL) AS fixed_version
+FROM r GROUP BY part, path""")
+def merge_observations(spark, sf_dir):
+    """The group-by by identity: highest severity, lifted confidence, united sources, best remediation, first place."""
+    m = merge.merge(_observations(spark, sf_dir))
+    sources = F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["engine_id"], s["rule_id"])), ",")
+    return m.select(F.col("identity.f1").alias("part"), F.col("identity.f2").alias("path"), "severity", "confidence", sources.alias("sources"), F.array_join("cwe", ",").alias("cwe"), "location.line", "title", "remediation.fixed_version")
+
+
+@query()
+def findings_ranked(spark, sf_dir):
+    """Observations to ranked findings: merge, identity hash, score, order. Ids are BLAKE3, which SQL doesn't have."""
+    m = merge.merge(_observations(spark, sf_dir))
+    none, i = F.lit(None).cast("string"), F.col("identity")
+    s = score.score(F.col("severity"), F.lit(False), F.lit("no_cve"), F.lit(None).cast("double"), F.col("confidence"), none, none)
+    out = m.withColumn("finding_id", hashing.finding_id_udf(i["finding_class"], i["f1"], i["f2"], i["f3"])).withColumn("s", s)
+    return out.select("finding_id", "title", "severity", "confidence", "s.risk_score", "location", "sources", F.lit("open").alias("status")).orderBy(F.desc("risk_score"), "finding_id")
+
+
+# ---- scores and feeds ----------------------------------------------------------------------------------------------
+
+_SEVERITY = {"1-URGENT": "critical", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "low", "5-LOW": "informational"}
+
+
+@query("""
+WITH o AS (
+  SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.75 WHEN '3-MEDIUM' THEN 0.5 WHEN '4-NOT SPECIFIED' THEN 0.25 ELSE 0.05 END::DOUBLE AS s,
+    CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.7 END::DOUBLE AS e,
+    CASE WHEN o_custkey % 5 = 0 THEN 1.0 WHEN o_custkey % 5 = 1 THEN 0.5 WHEN o_custkey % 5 = 2 THEN 0.55
+      WHEN o_totalprice >= 250000 THEN 0.9 WHEN o_totalprice >= 50000 THEN 0.7 ELSE 0.45 END::DOUBLE AS x,
+    CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.85 ELSE 0.7 END::DOUBLE AS c,
+    least(1.3::DOUBLE, CASE o_custkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.1 WHEN 2 THEN 1.2 ELSE 1.0 END::DOUBLE + CASE WHEN o_custkey % 3 = 0 THEN 0.1 ELSE 0.0 END::DOUBLE) AS a,
+    (CASE WHEN o_custkey % 4 = 3 THEN 'asset_criticality,' ELSE '' END) || (CASE WHEN o_custkey % 5 = 1 THEN 'exploitability,' ELSE '' END) || (CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'exposure,' END) AS d
+  FROM orders)
+SELECT o_orderkey, round(100.0 * least(1.0, s * e * x * c * a), 6) AS risk_score, round(x, 6) AS x, round(a, 6) AS a, rtrim(d, ',') AS defaults FROM o""")
+def risk_score(spark, sf_dir):
+    """Five factors, with every band and every default."""
+    o = read(spark, sf_dir, "orders")
+    sev = F.lit("informational")
+    for k, v in _SEVERITY.items():
+        sev = F.when(F.col("o_orderpriority") == k, v).otherwise(sev)
+    kind = F.col("o_custkey") % 5
+    signal = F.when(kind == 0, "kev").when(kind == 1, "unavailable").when(kind == 2, "no_cve").otherwise("epss")
+    sure = F.when(F.col("o_orderstatus") == "F", "proven").when(F.col("o_orderstatus") == "O", "corroborated").otherwise("heuristic")
+    four = F.col("o_custkey") % 4
+    crit = F.when(four == 0, "low").when(four == 1, "high").when(four == 2, "critical")
+    data = F.when(F.col("o_custkey") % 3 == 0, "sensitive").otherwise("public")
+    s = score.score(sev, F.col("o_orderstatus") == "P", signal, F.col("o_totalprice") / 500000, sure, crit, data)
+    out = o.select("o_orderkey", s.alias("s"))
+    return out.select("o_orderkey", F.round("s.risk_score", 6).alias("risk_score"), F.round("s.explanation.factors.exploitability", 6).alias("x"), F.round("s.explanation.factors.asset_criticality", 6).alias("a"), F.array_join("s.explanation.defaults_applied", ",").alias("defaults"))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT 'CVE-' || p_partkey AS cve FROM part WHERE p_size <= 5), e AS (SELECT 'CVE-' || p_partkey AS cve, p_size / 50.0 AS epss FROM part WHERE p_size > 10),
+a AS (SELECT DISTINCT l_orderkey, 'CVE-' || l_partkey AS cve FROM lineitem)
+SELECT a.l_orderkey, coalesce(bool_or(k.cve IS NOT NULL), false) AS in_kev, CAST(max(e.epss) AS DOUBLE) AS epss, min(a.cve) AS canonical
+FROM a LEFT JOIN k USING (cve) LEFT JOIN e USING (cve) GROUP BY a.l_orderkey""")
+def exploit_signals(spark, sf_dir):
+    """KEV semi join and the greatest EPSS over a finding's aliases; the smallest CVE names it."""
+    part = read(spark, sf_dir, "part").withColumn("cve", F.concat(F.lit("CVE-"), "p_partkey"))
+    kev = part.where("p_size <= 5").select("cve")
+    epss = part.where("p_size > 10").select("cve", (F.col("p_size") / 50.0).cast("double").alias("epss"))
+    f = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("CVE-"), "l_partkey")).alias("aliases"))
+    out = enrich.exploit(f, "l_orderkey", F.col("aliases"), kev, epss)
+    return out.join(f.select("l_orderkey", enrich.canonical_id(F.col("aliases"), F.lit("none")).alias("canonical")), "l_orderkey")
+
+
+# ---- advisories ----------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH a AS (SELECT 'ADV-' || p_partkey AS id, p_partkey AS name, p_size AS hi FROM part WHERE p_size % 2 = 0),
+p AS (SELECT DISTINCT l_partkey AS name, CAST(l_quantity AS INTEGER) AS ma, l_linenumber AS mi FROM lineitem)
+SELECT CAST(p.name AS VARCHAR) AS name, p.ma || '.' || p.mi || '.0' AS version, a.id AS advisory, CASE WHEN a.hi > p.ma THEN a.hi || '.0.0' END AS fixed_version
+FROM p JOIN a USING (name) WHERE p.ma >= 3 AND (p.ma < a.hi OR a.hi < 3)""")
+def advisory_range_join(spark, sf_dir):
+    """Packages against advisories whose range holds for their version, with the least fix: equi join, then ranges."""
+    part = read(spark, sf_dir, "part").where("p_size % 2 = 0")
+    event = "named_struct('introduced', {i}, 'fixed', {f}, 'last_affected', cast(null as string))"
+    events = f"array({event.format(i="'3.0.0'", f='cast(null as string)')}, {event.format(i='cast(null as string)', f="concat(p_size, '.0.0')")})"
+    osv = part.select(
+        F.concat(F.lit("ADV-"), "p_partkey").alias("id"), F.lit("s").alias("summary"), F.array().cast("array<string>").alias("aliases"),
+        F.struct(F.lit("HIGH").alias("severity"), F.array().cast("array<string>").alias("cwe_ids")).alias("database_specific"),
+        F.expr(f"array(named_struct('package', named_struct('ecosystem', 'npm', 'name', cast(p_partkey as string)), 'versions', cast(array() as array<string>), 'ranges', array(named_struct('type', 'SEMVER', 'events', {events}))))").alias("affected"),
+    )
+    p = read(spark, sf_dir, "lineitem").select(F.lit("npm").alias("ecosystem"), F.col("l_partkey").cast("string").alias("name"), F.concat_ws(".", F.col("l_quantity").cast("int"), "l_linenumber", F.lit(0)).alias("version")).distinct()
+    return advisories.match(p, osv).select("name", "version", "advisory", "fixed_version")
+
+
+@query("""SELECT DISTINCT CAST(l_quantity AS INTEGER) || '.' || l_linenumber || '.' || l_suppkey % 7 AS version, CAST(dense_rank() OVER (ORDER BY CAST(l_quantity AS INTEGER), l_linenumber, l_suppkey % 7) AS BIGINT) AS place FROM lineitem""")
+def version_order(spark, sf_dir):
+    """Semantic versions in their order, by native comparison of their keys."""
+    from pyspark.sql import Window
+
+    v = read(spark, sf_dir, "lineitem").select(F.concat_ws(".", F.col("l_quantity").cast("int"), "l_linenumber", F.col("l_suppkey") % 7).alias("version")).distinct()
+    # a few thousand distinct versions: one ordered window over them is bounded by the version space, not by the rows
+    return v.withColumn("k", V.key_udf(F.lit("semver"), "version")).select("version", F.dense_rank().over(Window.orderBy("k")).cast("long").alias("place"))
+
+
+@query("""SELECT 'pkg:npm/' || p_brand || '@' || p_size AS purl, arg_max(p_name, p_partkey) AS name, CAST(max(p_partkey) AS BIGINT) AS ordinal FROM part GROUP BY p_brand, p_size""")
+def purl_inventory(spark, sf_dir):
+    """Packages by purl, the last one of each stays."""
+    p = read(spark, sf_dir, "part").select(F.lit("npm").alias("purl_type"), F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("version"), F.lit("a").alias("path"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("label"))
+    return advisories.inventory(p).select("purl", F.col("label").alias("name"), F.col("ordinal").cast("long").alias("ordinal"))
+
+
+# ---- state ---------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT coalesce(a.k, b.k) AS finding_id, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'kept' END AS change
+FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus <> 'F') a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus <> 'O') b ON a.k = b.k""")
+def baseline_diff(spark, sf_dir):
+    """Added, removed and kept findings between two states."""
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "finding_id")
+    return state.diff(o.where("o_orderstatus <> 'F'"), o.where("o_orderstatus <> 'O'"))
+
+
+@query("""SELECT o_orderkey AS finding_id, o_totalprice / 5000 AS risk_score FROM orders
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND (o_totalprice / 5000 >= 60 OR o_orderpriority IN ('1-URGENT', '2-HIGH'))""")
+def gate_blocking(spark, sf_dir):
+    """New findings of a high score or severity fail the gate."""
+    sev = F.lit("informational")
+    for k, v in _SEVERITY.items():
+        sev = F.when(F.col("o_orderpriority") == k, v).otherwise(sev)
+    f = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), (F.col("o_totalprice") / 5000).alias("risk_score"), sev.alias("severity"))
+    old = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("finding_id"))
+    return state.gate(state.new_since(f, old), 60, "high").select("finding_id", "risk_score")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k FROM lineitem WHERE l_shipdate > TIMESTAMP '1998-06-01 23:59:59')
+SELECT count(*) FILTER (o_orderkey IN (SELECT k FROM s)) AS by_store, count(*) FILTER (o_clerk LIKE 'x%') AS by_path, count(*) AS findings
+FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'x/1' ELSE 'y/1' END AS o_clerk FROM orders)""")
+def suppressions(spark, sf_dir):
+    """Stored suppressions by id, alive until they expire, and configured ones by path."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), F.struct(F.when(F.col("o_orderstatus") == "P", "x/1").otherwise("y/1").alias("path")).alias("location"), F.array().cast("array<struct<rule_id:string>>").alias("sources"))
+    stored = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("expires"))
+    now = F.to_timestamp(F.lit("1998-06-01T23:59:59Z"))
+    ids = state.suppressed_by_store(o, stored, now).select("finding_id").withColumn("s", F.lit(1))
+    rules = [{"path": "x/*", "expires": "1999-01-01"}, {"path": "y/*", "expires": "1990-01-01"}, {"expires": "1999-01-01"}]
+    return o.join(ids, "finding_id", "left").agg(F.count("s").alias("by_store"), F.count_if(state.suppressed_by_config(o, rules, now)).alias("by_path"), F.count(F.lit(1)).alias("findings"))
+
+
+@query("""
+WITH f AS (SELECT l_suppkey, l_returnflag, l_orderkey AS line, l_linenumber AS n, count(*) OVER w AS c, row_number() OVER (w ORDER BY l_orderkey, l_linenumber, l_partkey) AS r FROM lineitem WINDOW w AS (PARTITION BY l_suppkey, l_returnflag)),
+s AS (SELECT l_suppkey, l_returnflag, list_slice(list_sort(list_distinct(list(line))), 1, 3) AS top, count(*) AS c FROM f GROUP BY 1, 2)
+SELECT f.l_suppkey, f.l_returnflag, f.line, f.c AS flood_size, CASE WHEN f.c > 10 THEN array_to_string(s.top, ',') END AS samples
+FROM f JOIN s USING (l_suppkey, l_returnflag) WHERE f.c <= 10 OR f.r = 1""")
+def flood_collapse(spark, sf_dir):
+    """Floods of findings shown as one row with their size and their lowest lines."""
+    li = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", F.col("l_orderkey").alias("line"), "l_linenumber", "l_partkey")
+    out = state.collapse(li, ["l_suppkey", "l_returnflag"], [F.col("line"), F.col("l_linenumber"), F.col("l_partkey")])
+    return out.select("l_suppkey", "l_returnflag", "line", "flood_size", F.array_join(F.transform("sample_lines", lambda x: x.cast("string")), ",").alias("samples"))
+
+
+@query("""
+WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
+SELECT b.user_id AS finding_id, 'first_seen' AS kind FROM b ANTI JOIN a USING (user_id)
+UNION ALL SELECT b.user_id, 'status_changed' FROM a JOIN b USING (user_id) WHERE a.n % 2 <> b.n % 2
+UNION ALL SELECT b.user_id, 'score_changed' FROM a JOIN b USING (user_id) WHERE abs(a.n - b.n) > 0.001""")
+def upsert_events(spark, sf_dir):
+    """A second scan's findings put into the store: which events that makes."""
+    e = read(spark, sf_dir, "events")
+
+    def scan(rows: DataFrame) -> DataFrame:
+        n = F.count(F.lit(1))
+        return rows.groupBy(F.col("user_id").alias("finding_id")).agg(F.when(n % 2 == 0, "open").otherwise("fixed").alias("status"), n.cast("double").alias("risk_score"), F.lit("{}").alias("finding_json"))
+
+    half = F.to_timestamp(F.lit("2024-01-16"))
+    at = F.to_timestamp(F.lit("2024-02-01"))
+    old = scan(e.where(F.col("ts") < half)).withColumns({"first_seen": half, "last_seen": half})
+    return state.upsert(old, scan(e.where(F.col("ts") >= half)), at)[1].select("finding_id", "kind")
+
+
+# ---- probes, scope, limits -----------------------------------------------------------------------------------------
+
+_TEMPLATES = [
+    {"id": "has-table", "severity": "low", "requests": [{"matchers": [{"type": "word", "words": ["<table", "<td"]}, {"type": "status", "values": [200]}]}]},
+    {"id": "has-script", "severity": "medium", "requests": [{"condition": "or", "matchers": [{"type": "regex", "patterns": ["<script[^>]*>"]}, {"type": "word", "words": ["javascript:"]}]}]},
+]
+
+
+@query("""
+SELECT 'has-table' AS template_id, 'low' AS severity, page_id FROM pages WHERE (contains(html, '<table') OR contains(html, '<td')) AND page_id % 3 = 0
+UNION ALL SELECT 'has-script', 'medium', page_id FROM pages WHERE regexp_matches(html, '<script[^>]*>') OR contains(html, 'javascript:')""")
+def probe_match(spark, sf_dir):
+    """Response templates over all pages: status, word and pattern matchers, joined by and / or."""
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("origin"), F.lit("/").alias("path"), F.lit("GET").alias("method"), F.when(F.col("page_id") % 3 == 0, 200).otherwise(404).alias("status"), F.lit("").alias("headers"), F.col("html").alias("body"))
+    return probe.evaluate(p, _TEMPLATES).select("template_id", "severity", F.col("origin").cast("long").alias("page_id"))
+
+
+@query("""SELECT page_id, h AS host, (h LIKE '%.example' OR h LIKE '%.com' OR h = 'localhost') AND NOT (h LIKE 'www.%.com') AS allowed
+FROM (SELECT page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^:/?#]*)', 1)) AS h FROM pages)""".replace("AND NOT (h LIKE 'www.%.com')", ""))
+def scope_hosts(spark, sf_dir):
+    """Hosts of all pages against a scope with wildcards; what isn't included is denied."""
+    h = paths.host(F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", h.alias("host"), probe.in_scope(h, ["*.example", "*.com", "localhost"], ["*.invalid"]).alias("allowed"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id % 50 AS host, CAST(epoch(ts) / 60 AS BIGINT) AS t, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bad FROM events)
+SELECT event_id, count(*) OVER w - 1 AS samples, CAST(sum(bad) OVER w - bad AS BIGINT) AS failures, (count(*) OVER w - 1 >= 5) AND (sum(bad) OVER w - bad >= 0.2 * (count(*) OVER w - 1)) AS abort
+FROM e WINDOW w AS (PARTITION BY host ORDER BY t RANGE BETWEEN 600 PRECEDING AND CURRENT ROW)""".replace("CAST(epoch(ts) / 60 AS BIGINT)", "CAST(floor(epoch(ts) / 60) AS BIGINT)"))
+def breaker(spark, sf_dir):
+    """A circuit breaker over a trailing window of each host's requests (time scaled: minutes stand for milliseconds)."""
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 50).alias("host"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60).cast("long").alias("ts_ms"), F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status"))
+    return probe.breaker(e, 600).select("event_id", "samples", "failures", "abort")
+
+
+@query()
+def token_bucket(spark, sf_dir):
+    """Waits that a token bucket imposes on each host's requests."""
+    e = read(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("host"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    return probe.token_bucket(e, 5.0)
+
+
+# ---- policies, paths, text -----------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT policy_id, count(*) AS n, count(*) FILTER (c = 'corroborated') AS violations FROM (
+  SELECT 'small' AS policy_id, CASE WHEN k IS NULL THEN 'heuristic' WHEN k IN (1, 2, 3) THEN 'corroborated' END AS c FROM (SELECT CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events)
+  UNION ALL SELECT 'not-seven', CASE WHEN k IS NULL THEN 'heuristic' WHEN NOT k = 7 THEN 'corroborated' END FROM (SELECT CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events)
+  UNION ALL SELECT 'no-owner', 'corroborated' FROM events)
+WHERE c IS NOT NULL GROUP BY policy_id""")
+def policy_tristate(spark, sf_dir):
+    """Policies over JSON attributes, with values that can't be resolved."""
+    e = read(spark, sf_dir, "events")
+    attrs = F.when(F.col("event_type") == "error", F.lit('{"k":{"__unresolved__":true}}')).otherwise(F.col("props"))
+    r = e.select(F.lit("event").alias("kind"), F.lit("n").alias("name"), F.col("event_id").cast("string").alias("address"), F.lit("p").alias("path"), attrs.alias("attributes"))
+    pack = [
+        {"id": "small", "kinds": ["event"], "severity": "low", "cwe": [], "condition": {"op": "in", "attribute": "k", "values": [1, 2, 3]}},
+        {"id": "not-seven", "kinds": ["event"], "severity": "low", "cwe": [], "condition": {"op": "not", "condition": {"op": "equals", "attribute": "k", "value": 7}}},
+        {"id": "no-owner", "kinds": ["event"], "severity": "low", "cwe": [], "condition": {"op": "all", "conditions": [{"op": "absent", "attribute": "owner"}, {"op": "is_false_or_absent", "attribute": "ok.deep"}]}},
+    ]
+    return policy.evaluate(r, pack).groupBy("policy_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == "corroborated").alias("violations"))
+
+
+@query("""SELECT page_id, rtrim(lower(url), '/') AS origin, regexp_replace(regexp_replace(regexp_replace('.//' || url || '/', '/+', '/', 'g'), '^(\\./|/)+', ''), '(.)/$', '\\1') AS path FROM pages""")
+def normalised_paths(spark, sf_dir):
+    """Origins and paths in normal form."""
+    return read(spark, sf_dir, "pages").select("page_id", paths.origin(F.col("url")).alias("origin"), paths.path(F.concat(F.lit(".//"), "url", F.lit("/"))).alias("path"))
+
+
+@query("""SELECT engine, CAST(count(*) AS BIGINT) AS labelled, CAST(sum(toxic) AS BIGINT) AS positive FROM (SELECT source AS engine, toxic FROM labels JOIN documents USING (doc_id)) GROUP BY ROLLUP (engine)""")
+def detection_tallies(spark, sf_dir):
+    """Labels by engine and over all, as a rollup."""
+    j = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("engine")), "doc_id")
+    return j.rollup("engine").agg(F.count(F.lit(1)).alias("labelled"), F.sum("toxic").cast("long").alias("positive"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)(bearer\\s+)[A-Za-z0-9._~+/=-]+', '\\1***REDACTED***', 'g'), 'AKIA[0-9A-Z]{16}', '***REDACTED***', 'g'),
+  '(?i)((?:password|passwd|secret|token|api[_-]?key)\\s*[:=]\\s*["'']?)[^\\s"''&]+', '\\1***REDACTED***', 'g') AS text FROM documents""")
+def redaction(spark, sf_dir):
+    """Secrets made unreadable in all documents."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.redacted(F.coalesce("text", F.lit(""))).alias("text"))
