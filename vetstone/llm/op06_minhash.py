@@ -7,9 +7,11 @@ process ends once its next arrival is later than every register. Two documents a
 equal to the probability Jaccard similarity of their weights. Registers are banded; what meets in a band is verified by
 the exact Jaccard similarity of the shingle sets, 0.8 or more.
 
-Equal texts are one node before any banding. Within a band only links to the bucket's most met node are tried first;
-then what that left in different components is compared in full, so that no link that a band offers is lost, while a
-large group of near copies costs as many pairs as it has members.
+Equal texts are one node before any banding. A bucket isn't joined with itself at once: its nodes first try one head,
+the bucket's most met node, then, for STARS rounds, a random node of the bucket's largest component, so that a large
+group of near copies costs as many pairs as it has members. What is then still in different components is compared in
+full, so that no link that a band offers is lost; of those pairs, ones whose sketches (a bit of each register) differ
+by five standard deviations more than at the threshold aren't verified.
 
 Returns one row per row of the input: doc_id, class_id (the least doc_id of its class). Texts without words are classes
 of their own. Rows that share a doc_id are one node. A null id stays null and counts as the smallest. Extra columns are
@@ -32,6 +34,9 @@ from vetstone.llm.op09_substring_dedup import words_of
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
+#: Registers; the first BANDS * ROWS are banded, a bit of each makes the sketch.
+REGISTERS = 256
+STARS = 3
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -81,26 +86,30 @@ def prob_minhash(doc: np.ndarray, g: np.ndarray, w: np.ndarray, docs: int, m: in
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(d, e, bands): e names the text; no bands for a text without words."""
+    """(d, e, bands, bits): e names the text; no bands for a text without words."""
+    m = max(REGISTERS, -(-bands * rows // 64) * 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = string_buffers(b.column(b.schema.get_field_index("text")))
-            out, some = [], []
+            out, some, bits = [], [], []
             for i, j in pieces(offsets, 1 << 21):
                 doc, g, w = weighted(*shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words))
-                sig = prob_minhash(doc, g, w, j - i, bands * rows).reshape(j - i, bands, rows)
+                sig = prob_minhash(doc, g, w, j - i, m)
+                bits.append(np.packbits((sig >> np.uint64(17) & np.uint64(1)).astype(bool), axis=1).view(np.int64))
+                sig = sig[:, : bands * rows].reshape(j - i, bands, rows)
                 key = np.zeros((j - i, bands), np.uint64)
                 for r in range(rows):
                     key = mix(key * np.uint64(31) + sig[:, :, r])
                 key = mix(key + np.arange(1, bands + 1, dtype=np.uint64))
                 out.append(key.view(np.int64))
                 some.append(np.bincount(doc, minlength=j - i) > 0)
-            keys, some = np.concatenate(out), np.concatenate(some)
+            keys, some, bits = (np.concatenate(x) for x in (out, some, bits))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), bits.shape[1]).cast(pa.list_(pa.int64()))
             at = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel()))], ["d", "e", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), flat], ["d", "e", "bands", "bits"])
 
-    return docs.mapInArrow(run, "d long, e binary, bands array<long>")
+    return docs.mapInArrow(run, "d long, e binary, bands array<long>, bits array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -140,29 +149,51 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return both.mapInArrow(run, "a long, b long")
 
 
+def _apart(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(b, n, c): the nodes of buckets that hold more than one component."""
+    part = met.join(found, "n", "left").select("b", "n", F.coalesce("c", "n").alias("c"))
+    split = part.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
+    return part.join(split, "b", "left_semi")
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
     """One row per row of docs: doc_id, class_id."""
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.unhex(F.md5(text)).alias("e"), text.alias("text"))
     sketch = cut(sketches(ids, bands, rows, words))
-    texts = cut(sketch.groupBy("e").agg(F.min("d").alias("n"), F.first("bands").alias("bands")).where(F.size("bands") > 0))
+    texts = cut(sketch.groupBy("e").agg(F.min("d").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")).where(F.size("bands") > 0))
     met = texts.select("n", F.explode("bands").alias("b")).distinct()
     buckets = met.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = cut(met.join(buckets, "b"))
-    popular = met.groupBy("n").agg(F.sum("size").alias("popular"))
-    heads = met.join(popular, "n").groupBy("b").agg(F.max_by("n", F.struct("popular", -F.col("n"))).alias("head"))
-    stars = cut(met.join(heads, "b").where("n <> head").select(F.least("n", "head").alias("a"), F.greatest("n", "head").alias("b")).distinct())
     nodes = met.select("n").distinct()
     sets = ids.join(nodes, ids.d == nodes.n, "left_semi").select("d", "text")
     sets = cut(shingle_sets(sets, words).dropDuplicates(["n"]))
-    links = cut(verified(stars, sets, threshold))
-    found = components(links)
-    # what the stars left apart though a band offers it: pairs of different components in one bucket, each tried once
-    part = met.join(found, "n", "left").select("b", "n", F.coalesce("c", "n").alias("c"))
-    split = part.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
-    part = cut(part.join(split, "b", "left_semi"))
-    left, right = part.toDF("b", "a", "ca"), part.toDF("b", "z", "cz")
-    rest = left.join(right, "b").where("a < z and ca <> cz").select("a", F.col("z").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    popular = met.groupBy("n").agg(F.sum("size").alias("popular"))
+    heads = met.join(popular, "n").groupBy("b").agg(F.max_by("n", F.struct("popular", -F.col("n"))).alias("head"))
+    tried, links = None, None
+    part = met.select("b", "n", F.col("n").alias("c"))
+    for k in range(STARS + 1):
+        if k:
+            part = cut(_apart(met, found))
+            each = part.groupBy("b", "c").agg(F.count(F.lit(1)).alias("size"), F.max_by("n", F.xxhash64("n", "b", F.lit(k))).alias("head"))
+            heads = each.groupBy("b").agg(F.max_by(F.struct("head", "c"), F.struct("size", "c")).alias("top")).select("b", "top.head", F.col("top.c").alias("hc"))
+        else:
+            heads = heads.select("b", "head", F.col("head").alias("hc"))
+        pairs = part.join(heads, "b").where("c <> hc").select(F.least("n", "head").alias("a"), F.greatest("n", "head").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        more = cut(verified(pairs, sets, threshold))
+        links = more if links is None else links.union(more)
+        found = components(links)
+    # what is left apart though a band offers it: pairs of different components in one bucket, each tried once
+    bits = texts.select("n", "bits").dropDuplicates(["n"])
+    part = cut(_apart(met, found).join(bits, "n").select("n", "b", "c", "bits"))
+    m = max(REGISTERS, -(-bands * rows // 64) * 64)
+    same = (1 + threshold) / 2
+    far = m * (1 - same) + 5 * (m * same * (1 - same)) ** 0.5
+    unlike = sum((F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(m // 64)), F.lit(0))
+    left, right = part.toDF("a", "k", "ca", "x"), part.toDF("z", "k", "cz", "y")
+    rest = left.join(right, "k").where((F.col("a") < F.col("z")) & (F.col("ca") != F.col("cz")) & (unlike <= far)).select("a", F.col("z").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(verified(rest, sets, threshold))
     if not more.isEmpty():
         found = components(links.union(more))
@@ -173,3 +204,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class, that of the least doc_id; all columns stay. Of repeated rows one stays; rows of
+    one id that differ in text are one node, of which the least text stays."""
+    names = docs.columns
+    classes = near_classes(docs)
+    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__d")).distinct()
+    key = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__x": F.xxhash64(F.coalesce("text", F.lit("")))}
+    chosen = docs.withColumns(key).groupBy("__d").agg(F.min("__x").alias("__x")).join(keep, "__d", "left_semi")
+    return docs.withColumns(key).join(chosen, ["__d", "__x"], "left_semi").dropDuplicates(["__d", "__x"]).select(*names)
