@@ -316,7 +316,15 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> dict:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
     x = np.concatenate([decisions(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model) for i, j in pieces(offsets)])
-    return model | {"logit": logistic(x, np.array([bool(y) for _, y in rows]))}
+    y = np.array([bool(y) for _, y in rows])
+    use = np.array([True] * 4)
+    while True:  # a toxic unit must never make a text look cleaner: what would weigh against it is left out
+        w = np.zeros(5)
+        w[np.append(use, True)] = logistic(x[:, use], y)
+        wrong = use & (w[:4] < 0) & [True, True, True, False]
+        if not wrong.any():
+            return model | {"logit": w}
+        use[int(np.argmin(np.where(wrong, w[:4], np.inf)))] = False
 
 
 def decisions(raw: np.ndarray, offsets: np.ndarray, model: dict) -> np.ndarray:
