@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vetstone.llm import op01_toxicity, op02_secret_ledger, op03_decontamination, op04_mpeg_audio, op05_packing, op06_minhash, op07_line_dedup, op08_suffix_dedup, op09_substring_dedup
+from vetstone.llm import op01_toxicity, op02_secret_ledger, op03_decontamination, op04_mpeg_audio, op05_packing, op06_minhash, op07_line_dedup, op08_suffix_dedup, op09_substring_dedup, op10_cotraining
 
 QUERIES = {
     "op1_toxicity": op01_toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_line_dedup": op07_line_dedup.op7_line_dedup,
     "op8_suffix_dedup": op08_suffix_dedup.op8_suffix_dedup,
     "op9_substring_dedup": op09_substring_dedup.op9_substring_dedup,
+    "op10_cotraining": op10_cotraining.op10_cotraining,
 }
 
 #: Where SQL can express the whole result.
