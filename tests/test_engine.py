@@ -1,0 +1,175 @@
+"""The engine on small tables: sources, detection, merge, scores, state, reports."""
+
+import gzip
+import io
+import json
+import struct
+import tarfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from vetstone import schema as S
+from vetstone.functions import hashing, text
+from vetstone.operators import advisories, merge, policy, probe, render, score, secrets, state
+from vetstone.sources import feeds, files, images, infrastructure, lockfiles, reports
+
+
+@pytest.mark.parametrize(
+    ("severity", "sure", "reachable", "signal", "epss", "criticality", "data", "cvss", "want"),
+    [
+        ("critical", "proven", True, "kev", None, "medium", None, None, 100.0),
+        ("high", "heuristic", False, "no_cve", None, None, None, None, 20.2125),
+        ("informational", "unconfirmed", False, "unavailable", None, None, None, None, 0.875),
+        ("low", "proven", True, "epss", 0.6, "high", "regulated", None, 27.0),
+        ("low", "corroborated", False, "epss", 0.2, "low", None, 9.0, 18.7425),
+    ],
+)
+def test_scores(spark, severity, sure, reachable, signal, epss, criticality, data, cvss, want):
+    lit = lambda x, t: F.lit(x).cast(t)
+    s = score.score(F.lit(severity), F.lit(reachable), F.lit(signal), lit(epss, "double"), F.lit(sure), lit(criticality, "string"), lit(data, "string"), lit(cvss, "double") if cvss else None)
+    assert spark.range(1).select(s["risk_score"]).first()[0] == pytest.approx(want, abs=1e-6)
+
+
+def test_secret_detection(spark):
+    key = "AKIA" + "IOSFODNN7EXAMPLE"
+    token = "gh" + "p_" + "a1B2" * 9
+    rows = [
+        ("a.py", f'k = "{key}"\npassword = "s3cr3t-value-long-1"\n{token}\r\nplain'),
+        ("b.txt", "x 9fQ2+kLmZ8/pR4tYw7sVb3Nc6Hd1Gj5E end\ndigest d41d8cd98f00b204e9800998ecf8427e\nhttps://files.host.org/9fQ2+kLmZ8/pR4tYw7sVb3Nc6Hd1Gj5E"),
+        ("yarn.lock", "9fQ2+kLmZ8/pR4tYw7sVb3Nc6Hd1Gj5E"), ("n", None),
+    ]
+    found = secrets.detect(spark.createDataFrame(rows, "path string, text string"))
+    got = {(r.path, r.line, r.rule_id) for r in found.collect()}
+    assert got == {("a.py", 1, "aws-access-key-id"), ("a.py", 2, "keyword-context-secret"), ("a.py", 3, "github-token"), ("b.txt", 1, "high-entropy-string")}
+    seen = secrets.raw(secrets.emissions(found, hashing.fingerprint_udf))
+    shown = json.dumps([r.asDict(True) for r in merge.merge(seen).collect()])
+    assert key not in shown and token not in shown and "AK****LE" in shown
+
+
+def test_text_measures(spark):
+    r = spark.createDataFrame([("abcd",)], "v string").select(text.entropy(F.col("v")).alias("e"), text.entropy(F.lit("")).alias("z"), text.masked(F.lit("12345678")).alias("m"), text.capped(F.lit("ééé"), 3).alias("c"), text.redacted(F.lit("Authorization: Bearer abc.def token=xyz")).alias("r")).first()
+    assert (r.e, r.z, r.m) == (2.0, 0.0, "********") and r.c.startswith("é…") and "abc.def" not in r.r and "xyz" not in r.r
+
+
+def observation(engine, rule, severity, sure, line, fix=None, title="t"):
+    return (engine, rule, ("exposed_secret", "r", "./a//b", "f"), title, None, severity, sure, ("repository", "r"), ("a/b", line), [("k", f"s{line}", None, [])], fix, ["CWE-1"])
+
+
+def test_merge(spark):
+    rows = [observation("b", None, "low", "heuristic", 9), observation("a", "r", "high", "unconfirmed", 3, (True, "1.0", None)), observation("a", "r", "low", "heuristic", 3, (True, "1.0", "s"))]
+    (m,) = merge.merge(spark.createDataFrame(rows, S.RAW)).collect()
+    assert (m.severity, m.confidence, m.identity.f2, m.location.line, m.remediation.summary) == ("high", "corroborated", "a/b", 3, "s")
+    assert [(s.engine_id, s.rule_id) for s in m.sources] == [("a", "r"), ("b", None)] and len(m.evidence) == 2
+    assert merge.merge(spark.createDataFrame([], S.RAW)).count() == 0
+
+
+def test_advisories(spark):
+    osv = spark.createDataFrame(
+        [("G-1", "s", ["CVE-2", "CVE-1"], ("HIGH", ["CWE-79"]), [(("PyPI", "Foo_Bar"), None, [("ECOSYSTEM", [("0", None, None), (None, "1.5", None)])])]),
+         ("G-2", "s", None, None, [(("npm", "x"), ["1.0.0"], [("SEMVER", [("0", None, None)])])])],
+        feeds.OSV,
+    )
+    p = spark.createDataFrame([("PyPI", "foo-bar", "1.4"), ("PyPI", "foo.bar", "1.5"), ("npm", "X", "1.0.0"), ("npm", "x", "2.0.0"), ("npm", "x", None)], "ecosystem string, name string, version string")
+    got = {(r.name, r.version, r.advisory, r.severity, r.fixed_version) for r in advisories.match(p, osv).collect()}
+    assert got == {("foo-bar", "1.4", "CVE-1", "high", "1.5"), ("X", "1.0.0", "G-2", "medium", None)}
+    assert advisories.unpinned(p).count() == 1
+
+
+def test_policies(spark):
+    tf = 'resource "aws_s3_bucket" "b" {\n  acl = "public-read"\n}\nresource "aws_ebs_volume" "v" {\n  encrypted = var.x\n}\nresource "aws_security_group" "g" {\n  ingress {\n    cidr_blocks = ["0.0.0.0/0"]\n  }\n}\n'
+    docker = "FROM python:latest AS b\nENV API_TOKEN=abc\nRUN curl https://x | \\\n  sh\nFROM b\nADD https://x /y\nUSER app\n"
+    pod = "apiVersion: v1\nkind: Pod\nmetadata: {name: p}\nspec: {securityContext: {privileged: true}}\n---\nkind: List\n"
+    rows = [("m.tf", tf), ("d/Dockerfile", docker), ("p.yaml", pod), ("bad.yml", "a: ["), ("x.txt", "no")]
+    r = infrastructure.resources(spark.createDataFrame(rows, "path string, text string"))
+    got = {(x.policy_id, x.confidence) for x in policy.evaluate(r).collect()}
+    assert got == {("s3-public-acl", "corroborated"), ("s3-unencrypted", "corroborated"), ("ebs-unencrypted", "heuristic"), ("sg-open-ingress", "corroborated"), ("pod-privileged", "corroborated"),
+                   ("image-adds-url", "corroborated"), ("image-pipes-to-shell", "corroborated"), ("image-secret-in-env", "corroborated"), ("image-floating-base", "corroborated")}
+
+
+REPORTS = {
+    "trivy": {"SchemaVersion": 2, "Results": [{"Target": "t", "Type": "npm", "Vulnerabilities": [{"VulnerabilityID": "CVE-1", "PkgName": "a", "InstalledVersion": "1", "FixedVersion": "2", "Severity": "HIGH"}]}]},
+    "semgrep": {"results": [{"check_id": "c", "path": "a.py", "start": {"line": 3}, "extra": {"severity": "ERROR", "message": "m", "metadata": {"cwe": ["CWE-1"]}}}], "errors": []},
+    "checkov": {"check_type": "t", "results": {"failed_checks": [{"check_id": "K", "check_name": "n", "file_path": "/m.tf", "resource": "r"}]}},
+    "zap": {"site": [{"@name": "http://h", "alerts": [{"pluginid": "1", "alert": "a", "riskcode": "2", "cweid": "79", "instances": [{"uri": "http://h/p"}]}, {"pluginid": "2", "riskcode": "0", "cweid": "-1", "instances": []}]}]},
+    "sarif": {"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "T"}}, "results": [{"ruleId": "R", "level": "note", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "u"}, "region": {"startLine": 2}}}]}]}]},
+}
+
+
+def test_importers(spark):
+    df = spark.createDataFrame([(json.dumps(x),) for x in [*REPORTS.values(), {"other": 1}, [1]]], "report string")
+    assert {r.k for r in df.select(reports.kind(F.col("report")).alias("k")).collect()} == {*REPORTS, None}
+    got = {(r.engine_id, r.rule_id, r.severity, r.identity.finding_class, r.identity.f2) for r in reports.observations(df).collect()}
+    assert got == {
+        ("external:trivy", "CVE-1", "high", "vulnerable_dependency", "CVE-1"), ("external:semgrep", "c", "high", "structural_pattern", "a.py"), ("external:checkov", "K", "medium", "iac_misconfiguration", "m.tf"),
+        ("external:zap", "1", "medium", "web_exposure", "http://h"), ("external:zap", "2", "informational", "web_exposure", "http://h"), ("external:t", "R", "low", "structural_pattern", "u"),
+    }
+
+
+def test_tree_and_lockfiles(spark, tmp_path):
+    for p, t in {"a/package.json": '{"dependencies": {"x": "1.2.3"}}', "package-lock.json": '{"dependencies": {"x": {"version": "1.2.3"}}}', "node_modules/x/go.sum": "m v1 h\n", "b/out.min.js": "x", "c/keep.log": "x", "c/go.mod": "require a v1.0.0\n"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t)
+    (tmp_path / "bin").write_bytes(b"\xff\xfe\x00")
+    got = files.tree(spark, str(tmp_path), exclude=["*.min.js"], ignore=["*.log", "!keep.log", "/nothing/"])
+    assert {r.path for r in got.collect()} == {"a/package.json", "package-lock.json", "c/keep.log", "c/go.mod"}
+    assert {(r.path, r.name) for r in lockfiles.packages(got).collect()} == {("package-lock.json", "x"), ("c/go.mod", "a")}
+
+
+def layer(entries):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for name, data in entries:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    return gzip.compress(out.getvalue())
+
+
+def test_images(spark):
+    layers = [(0, layer([("etc/a", b"1"), ("etc/b", b"1"), ("var/x", b"1")])), (1, layer([("etc/a", b"2"), ("etc/.wh.b", b""), ("var/.wh..wh..opq", b""), ("var/y", b"1")]))]
+    got = {(r.path, bytes(r.content)) for r in images.extracted(spark.createDataFrame(layers, "layer_no int, content binary")).collect()}
+    assert got == {("etc/a", b"2"), ("var/y", b"1")}
+    with pytest.raises(ValueError):
+        list(images.entries(layer([("../x", b"1")])))
+    status = spark.createDataFrame([("Package: a\nStatus: install ok installed\nVersion: 1\nArchitecture: x\n\nPackage: b\nStatus: deinstall ok config-files\nVersion: 2\n\nPackage: c\nVersion: 3\n",)], "text string")
+    assert {(r.name, r.version) for r in images.dpkg(status).collect()} == {("a", "1"), ("c", "3")}
+    assert images.apk(spark.createDataFrame([("P:m\nV:1.2-r0\nA:x\n\n",)], "text string").select("text")).first().version == "1.2-r0"
+    data = b"name\x001.0\x002\x00x86\x00\x00" + struct.pack(">I", 3)
+    index = b"".join(struct.pack(">IIII", *e) for e in [(1000, 6, 0, 1), (1001, 6, 5, 1), (1002, 6, 9, 1), (1022, 6, 11, 1), (1003, 4, 16, 1)])
+    assert images.rpm_header(struct.pack(">II", 5, len(data)) + index + data) == ("name", "3:1.0-2", "x86") and images.rpm_header(b"\0") is None
+
+
+def test_feeds(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("#model\ncve,epss,percentile\nCVE-1,0.5,0.9\n")
+    assert feeds.epss(spark, str(tmp_path / "e.csv")).first().epss == 0.5
+    name = feeds.write_snapshot(str(tmp_path / "s"), "2024-01-02T00:00:00Z", {"kev.json": b'{"vulnerabilities":[{"cveID":"CVE-1"}]}'})
+    snap = feeds.open_snapshot(str(tmp_path / "s"))
+    assert snap["snapshot_id"] == name and feeds.kev(spark, snap["path"] + "/kev.json").count() == 1
+    (tmp_path / "s" / name / "kev.json").write_text("{}")
+    with pytest.raises(ValueError):
+        feeds.open_snapshot(str(tmp_path / "s"))
+
+
+def test_probe_and_scope(spark):
+    r = spark.createDataFrame([("http://a", "/.env", "GET", 200, "h", "KEY=1")], "origin string, path string, method string, status int, headers string, body string")
+    t = [{"id": "env", "severity": "high", "requests": [{"path": ["/.env"], "matchers": [{"type": "status", "values": [200]}, {"type": "regex", "patterns": ["(?m)^[A-Z_]+="]}]}]}]
+    assert probe.evaluate(r, t).first().template_id == "env"
+    hosts = spark.createDataFrame([("a.x.io",), ("x.io",), ("bad.x.io",), ("y.io",)], "h string")
+    assert [x[0] for x in hosts.select(probe.in_scope(F.col("h"), ["*.x.io", "y.io"], ["bad.x.io"])).collect()] == [True, False, False, True]
+    with pytest.raises(ValueError):
+        probe.check_scope(["*.co.uk"])
+
+
+def test_state_and_reports(spark, tmp_path):
+    from vetstone.streaming.store import Store
+
+    rows = spark.createDataFrame([("a", "open", 5.0, "{}"), ("b", "open", 9.0, "{}")], "finding_id string, status string, risk_score double, finding_json string")
+    store, at = Store(spark, str(tmp_path / "db")), F.to_timestamp(F.lit("2024-01-01"))
+    assert store.put(rows, at) == {"first_seen": 2} and store.put(rows, at) == {}
+    changed = rows.withColumn("risk_score", F.col("risk_score") + F.when(F.col("finding_id") == "a", 0.0005).otherwise(1.0))
+    assert store.put(changed, at) == {"score_changed": 1} and store.history("b").count() == 2
+    full = merge.merge(spark.createDataFrame([observation("a", "r", "high", "proven", 3)], S.RAW)).withColumns({"finding_id": F.lit("x"), "risk_score": F.lit(5.0)})
+    assert json.loads(render.sarif_results(full).first().result)["level"] == "error" and '"description"' not in render.json_lines(full).first().line
+    assert render.exit_code(True, True) == 3 and "x" in render.table(full).first().row and render.markdown(full).first().row.startswith("| high")
+    assert {r.change for r in state.diff(rows, changed.where("finding_id = 'a'")).collect()} == {"kept", "removed"}

@@ -47,6 +47,6 @@ def capped(text: Column, most: int) -> Column:
     """At most `most` bytes, cut between characters, with a note of what is missing."""
     size = F.octet_length(text)
     # the longest prefix of whole characters: the cut falls back to the last character that fits
-    head = F.decode(F.substring(F.encode(text, "utf-8"), 1, most), "utf-8")
-    head = F.regexp_replace(head, "�+$", "")
+    head = F.make_valid_utf8(F.substring(F.encode(text, "utf-8"), 1, most).cast("string"))
+    head = F.regexp_replace(head, "\ufffd+$", "")
     return F.when(size > most, F.concat(head, F.lit("… ["), size - F.octet_length(head), F.lit(" bytes truncated]"))).otherwise(text)
