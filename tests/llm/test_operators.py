@@ -355,3 +355,11 @@ def test_cotraining(spark, docs, empty):
     out = o.scored(docs, model).collect()
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out) and o.scored(empty, model).count() == 0
     assert o.train(frame, labels.limit(0)) is None and all(r.score == 0.5 for r in o.scored(docs, None).collect())
+
+
+def test_levels_double_until_none_survives(spark):
+    from vetstone.llm.op09_substring_dedup import longest_levels
+
+    shared = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(1, "a b " + shared), (2, shared + " c"), (3, "other words " * 80)], "doc_id long, text string")
+    assert longest_levels(docs) == [(13, 108), (26, 95), (52, 69), (104, 17)]

@@ -20,10 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(ROUNDS):
-        both = now.union(now.select("v", "u"))
+        # one exchange a star: the minimum and the join with it share the rows' partitioning
+        both = now.union(now.select("v", "u")).repartition("u")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).repartition("u")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = cut(small)

@@ -23,8 +23,8 @@ scored as they come. Extra columns are ignored. An empty table gives an empty re
 
 from __future__ import annotations
 
-import functools
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from vetstone.llm.common import pieces, string_buffers, table
 
 #: Documents of either class that the machine is fitted on, at most, those with the least hash of their id.
-SAMPLE = 1000
+SAMPLE = 900
 LAMBDA, SPAN = 0.7, 7
 LANDMARKS = 128
 STRETCH = 16
 #: Clean units of the sample among which hard ones are looked for.
-POOL = 40_000
+POOL = 30_000
 LOW = -1.5
 #: Of a unit on the wrong side of the margin.
 COST = 10.0
@@ -131,19 +131,18 @@ def phi(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return subsequences(sym, offsets[:-1], offsets[1:], offsets[1:])
 
 
-def kernel(strings: list[str], table_: np.ndarray) -> np.ndarray:
-    """Normalised kernel of each string with each landmark; table_: landmarks' subsequence weights, 64**3 x m."""
-    out = np.zeros((len(strings), table_.shape[1]))
-    used = np.flatnonzero(np.abs(table_).sum(1) > 0)
-    column = np.full(len(table_), -1)
+def kernel(strings: list[str], used: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Normalised kernel of each string with each landmark; grid: landmarks' weights of the subsequences `used`."""
+    out = np.zeros((len(strings), grid.shape[1]))
+    column = np.full(64**3, -1, np.int32)
     column[used] = np.arange(len(used))
-    for i in range(0, len(strings), 2000):
-        part = strings[i : i + 2000]
+    for i in range(0, len(strings), 1000):
+        part = strings[i : i + 1000]
         unit, code, w = phi(part)
         hit = column[code] >= 0
         counts = np.bincount(unit[hit] * len(used) + column[code[hit]], w[hit], len(part) * len(used))
         norm = np.sqrt(np.maximum(np.bincount(unit, w * w, len(part)), 1e-9))
-        out[i : i + 2000] = (counts.reshape(len(part), -1) @ table_[used]) / norm[:, None]
+        out[i : i + 1000] = (counts.reshape(len(part), -1) @ grid) / norm[:, None]
     return out
 
 
@@ -170,16 +169,20 @@ def words(parts: list[str]) -> list[list[str]]:
     return out
 
 
-@functools.lru_cache(200_000)
-def fragments(word: str) -> frozenset[str]:
+def fragments(word: str) -> set[str]:
     w = "".join(c for c in word if c.isalnum() or c == START)
-    return frozenset(w[i : i + n] for n in (4, 5, 6, 8) for i in range(max(0, len(w) - n + 1)))
+    return {w[i : i + n] for n in (4, 5, 6, 8) for i in range(max(0, len(w) - n + 1))}
+
+
+def _least(toxic: int) -> int:
+    """Toxic documents that must share a fragment."""
+    return max(2, round(0.02 * toxic))
 
 
 def choose_landmarks(toxic: list[set[str]], clean: Counter, n_clean: int, most: int) -> list[str]:
     """Fragments that tell toxic documents from clean ones, greedily until each toxic one has COVERS of them."""
     df = Counter(f for d in toxic for f in d)
-    least = max(2, round(0.02 * len(toxic)))
+    least = _least(len(toxic))
     rate = {f: (clean[f] / max(1, n_clean)) / (n / len(toxic)) for f, n in df.items() if n >= least}
     good = {f for f, r in rate.items() if r <= 0.12}
     left = [d & good for d in toxic]
@@ -262,13 +265,18 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> dict:
     if not toxic or not clean:
         return none
     cut_toxic = [words(sentences(t)) for t in toxic]
-    clean_words = Counter()
+    # fragments are counted by hash first: only those of several toxic documents are kept as strings
+    held = [np.fromiter(map(hash, set().union(*(fragments(w) for s in d for w in s))), np.int64) for d in cut_toxic]
+    kinds, counts = np.unique(np.concatenate(held), return_counts=True)
+    often = set(kinds[counts >= _least(len(toxic))].tolist())
+    del held, kinds, counts
+    toxic_df = [{sys.intern(f) for s in d for w in s for f in fragments(w) if hash(f) in often} for d in cut_toxic]
+    clean_words: Counter = Counter()
     clean_df: Counter = Counter()
     for t in clean:
         here = Counter(w for s in words(sentences(t)) for w in s)
         clean_words.update(here)
-        clean_df.update(set().union(*map(fragments, here)))
-    toxic_df = [set().union(*(fragments(w) for s in d for w in s)) for d in cut_toxic]
+        clean_df.update({f for w in here for f in fragments(w) if hash(f) in often})
     marks = choose_landmarks(toxic_df, clean_df, len(clean), landmarks * 2 // 3)
     if not marks:
         return none
@@ -282,11 +290,11 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> dict:
     common = [w for w, _ in clean_words.most_common(4000) if len(w) >= 4]
     marks = [*marks, *common[: landmarks - len(marks)]]
     m = len(marks)
-    grid = np.zeros((64**3, m))
     unit, code, w = phi(marks)
-    np.add.at(grid, (code, unit), w)
-    scale = np.sqrt(np.maximum((grid**2).sum(0), 1e-12))
-    grid /= scale
+    used, row = np.unique(code, return_inverse=True)
+    grid = np.zeros((len(used), m))
+    np.add.at(grid, (row, unit), w)
+    grid /= np.sqrt(np.maximum((grid**2).sum(0), 1e-12))
     values, vectors = np.linalg.eigh(grid.T @ grid)
     keep = values > 1e-6 * values.max()
     nystrom = vectors[:, keep] / np.sqrt(values[keep])  # features = kernel with landmarks @ nystrom
@@ -294,28 +302,29 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> dict:
     every = [w for w in clean_words if w not in positive]
     order = np.random.default_rng(7).permutation(len(every))
     neg = [*common[:1500], *(every[i] for i in order[:6000])]
-    kp, pool = kernel(pos, grid) @ nystrom, [every[i] for i in order[:POOL]]
-    kpool = kernel(pool, grid)
+    kp, pool = kernel(pos, used, grid) @ nystrom, [every[i] for i in order[:POOL]]
+    kpool = kernel(pool, used, grid)
     real = np.concatenate([np.ones(len(positive)), np.full(len(pos) - len(positive), 0.05)])  # gapped copies weigh less
     hard: set[str] = set()
     for _ in range(4):
         negatives = [*neg, *hard]
-        x = np.vstack([kp, kernel(negatives, grid) @ nystrom])
+        x = np.vstack([kp, kernel(negatives, used, grid) @ nystrom])
         y = np.concatenate([np.ones(len(kp)), -np.ones(len(negatives))])
         c = COST * np.concatenate([real * min(50, len(negatives) / len(real)), [clean_words[w] ** 0.5 for w in negatives]])
         v = svm(x, y, c)
-        weight = grid @ (nystrom @ v)
+        weight = np.zeros(64**3, np.float32)
+        weight[used] = grid @ (nystrom @ v)
         f = kpool @ (nystrom @ v) - 1
         bad = np.flatnonzero(f > -0.9)
         fresh = {pool[i] for i in bad[np.argsort(-f[bad])][:3000]} - hard
         if not fresh:
             break
         hard |= fresh
-    model = none | {"w": weight.astype(np.float32), "landmarks": marks}
+    model = none | {"w": weight, "landmarks": marks}
     raw = [t.encode() for t, _ in rows]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    x = np.concatenate([decisions(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model) for i, j in pieces(offsets)])
+    x = np.concatenate([decisions(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model) for i, j in pieces(offsets, 1 << 18)])
     y = np.array([bool(y) for _, y in rows])
     use = np.array([True] * 4)
     while True:  # a toxic unit must never make a text look cleaner: what would weigh against it is left out

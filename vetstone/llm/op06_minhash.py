@@ -8,8 +8,8 @@ equal to the probability Jaccard similarity of their weights. Registers are band
 the exact Jaccard similarity of the shingle sets, 0.8 or more.
 
 Equal texts are one node before any banding. A bucket isn't joined with itself at once: its nodes first try one head,
-the bucket's most met node, then, for STARS rounds, a random node of the bucket's largest component, so that a large
-group of near copies costs as many pairs as it has members. What is then still in different components is compared in
+the bucket's most met node, then STARS random nodes of the bucket's largest component, so that a large group of near
+copies costs some pairs for each of its members. What is then still in different components is compared in
 full, so that no link that a band offers is lost; of those pairs, ones whose sketches (a bit of each register) differ
 by five standard deviations more than at the threshold aren't verified.
 
@@ -86,13 +86,13 @@ def prob_minhash(doc: np.ndarray, g: np.ndarray, w: np.ndarray, docs: int, m: in
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(d, e, bands, bits): e names the text; no bands for a text without words."""
+    """(d, e, bands, bits, z): e names the text, z counts its shingles; no bands for a text without words."""
     m = max(REGISTERS, -(-bands * rows // 64) * 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = string_buffers(b.column(b.schema.get_field_index("text")))
-            out, some, bits = [], [], []
+            out, count, bits = [], [], []
             for i, j in pieces(offsets, 1 << 21):
                 doc, g, w = weighted(*shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words))
                 sig = prob_minhash(doc, g, w, j - i, m)
@@ -103,13 +103,14 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int =
                     key = mix(key * np.uint64(31) + sig[:, :, r])
                 key = mix(key + np.arange(1, bands + 1, dtype=np.uint64))
                 out.append(key.view(np.int64))
-                some.append(np.bincount(doc, minlength=j - i) > 0)
-            keys, some, bits = (np.concatenate(x) for x in (out, some, bits))
+                count.append(np.bincount(doc, minlength=j - i))
+            keys, count, bits = (np.concatenate(x) for x in (out, count, bits))
+            some = count > 0
             flat = pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), bits.shape[1]).cast(pa.list_(pa.int64()))
             at = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), flat], ["d", "e", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), flat, pa.array(count)], ["d", "e", "bands", "bits", "z"])
 
-    return docs.mapInArrow(run, "d long, e binary, bands array<long>, bits array<long>")
+    return docs.mapInArrow(run, "d long, e binary, bands array<long>, bits array<long>, z long")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -130,10 +131,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose sets' Jaccard similarity is at least the threshold."""
-    size = F.octet_length("shingles")
-    sizes = sets.select("n", size.alias("size"))
-    near = pairs.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb"))
-    both = near.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,8 +148,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def _apart(met: DataFrame, found: DataFrame) -> DataFrame:
-    """(b, n, c): the nodes of buckets that hold more than one component."""
-    part = met.join(found, "n", "left").select("b", "n", F.coalesce("c", "n").alias("c"))
+    """(b, n, z, c): the nodes of buckets that hold more than one component."""
+    part = met.join(found, "n", "left").select("b", "n", "z", F.coalesce("c", "n").alias("c"))
     split = part.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
     return part.join(split, "b", "left_semi")
 
@@ -161,39 +159,42 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.unhex(F.md5(text)).alias("e"), text.alias("text"))
     sketch = cut(sketches(ids, bands, rows, words))
-    texts = cut(sketch.groupBy("e").agg(F.min("d").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")).where(F.size("bands") > 0))
-    met = texts.select("n", F.explode("bands").alias("b")).distinct()
+    texts = cut(sketch.groupBy("e").agg(F.min("d").alias("n"), *(F.first(c).alias(c) for c in ("bands", "bits", "z"))).where(F.size("bands") > 0))
+    met = texts.select("n", "z", F.explode("bands").alias("b"))
     buckets = met.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = cut(met.join(buckets, "b"))
     nodes = met.select("n").distinct()
     sets = ids.join(nodes, ids.d == nodes.n, "left_semi").select("d", "text")
     sets = cut(shingle_sets(sets, words).dropDuplicates(["n"]))
+
+    def pairs(rows: DataFrame, heads: DataFrame) -> DataFrame:
+        """Each node with its bucket's head, if they are apart and their sizes allow a link."""
+        near = F.least("z", "hz") >= threshold * F.greatest("z", "hz")
+        return rows.join(heads, "b").where((F.col("c") != F.col("hc")) & near).select(F.least("n", "head").alias("a"), F.greatest("n", "head").alias("b")).distinct()
+
     popular = met.groupBy("n").agg(F.sum("size").alias("popular"))
-    heads = met.join(popular, "n").groupBy("b").agg(F.max_by("n", F.struct("popular", -F.col("n"))).alias("head"))
-    tried, links = None, None
-    part = met.select("b", "n", F.col("n").alias("c"))
-    for k in range(STARS + 1):
-        if k:
-            part = cut(_apart(met, found))
-            each = part.groupBy("b", "c").agg(F.count(F.lit(1)).alias("size"), F.max_by("n", F.xxhash64("n", "b", F.lit(k))).alias("head"))
-            heads = each.groupBy("b").agg(F.max_by(F.struct("head", "c"), F.struct("size", "c")).alias("top")).select("b", "top.head", F.col("top.c").alias("hc"))
-        else:
-            heads = heads.select("b", "head", F.col("head").alias("hc"))
-        pairs = part.join(heads, "b").where("c <> hc").select(F.least("n", "head").alias("a"), F.greatest("n", "head").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        more = cut(verified(pairs, sets, threshold))
-        links = more if links is None else links.union(more)
-        found = components(links)
+    heads = met.join(popular, "n").groupBy("b").agg(F.max_by(F.struct("n", "z"), F.struct("popular", F.bitwise_not(F.col("n")))).alias("h"))
+    tried = cut(pairs(met.withColumn("c", F.col("n")), heads.select("b", F.col("h.n").alias("head"), F.col("h.z").alias("hz"), F.col("h.n").alias("hc"))))
+    links = cut(verified(tried, sets, threshold))
+    found = components(links)
+    part = cut(_apart(met, found))
+    each = part.groupBy("b", "c").agg(F.count(F.lit(1)).alias("size"), *(F.max_by(F.struct("n", "z"), F.xxhash64("n", "b", F.lit(k))).alias(f"h{k}") for k in range(STARS)))
+    heads = each.groupBy("b").agg(F.max_by(F.struct("c", *(f"h{k}" for k in range(STARS))), F.struct("size", "c")).alias("top"))
+    heads = heads.select("b", F.col("top.c").alias("hc"), F.explode(F.array(*(f"top.h{k}" for k in range(STARS)))).alias("h")).select("b", "hc", F.col("h.n").alias("head"), F.col("h.z").alias("hz"))
+    more = cut(pairs(part, heads).join(tried, ["a", "b"], "left_anti"))
+    tried = tried.union(more)
+    links = links.union(cut(verified(more, sets, threshold)))
+    found = components(links)
     # what is left apart though a band offers it: pairs of different components in one bucket, each tried once
     bits = texts.select("n", "bits").dropDuplicates(["n"])
-    part = cut(_apart(met, found).join(bits, "n").select("n", "b", "c", "bits"))
+    part = _apart(met, found).join(bits, "n").select("n", "b", "c", "bits", "z")
     m = max(REGISTERS, -(-bands * rows // 64) * 64)
     same = (1 + threshold) / 2
     far = m * (1 - same) + 5 * (m * same * (1 - same)) ** 0.5
     unlike = sum((F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(m // 64)), F.lit(0))
-    left, right = part.toDF("a", "k", "ca", "x"), part.toDF("z", "k", "cz", "y")
-    rest = left.join(right, "k").where((F.col("a") < F.col("z")) & (F.col("ca") != F.col("cz")) & (unlike <= far)).select("a", F.col("z").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    left, right = part.toDF("a", "k", "ca", "x", "za"), part.toDF("o", "k", "co", "y", "zo")
+    sizes = F.least("za", "zo") >= threshold * F.greatest("za", "zo")
+    rest = left.join(right, "k").where((F.col("a") < F.col("o")) & (F.col("ca") != F.col("co")) & sizes & (unlike <= far)).select("a", F.col("o").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(verified(rest, sets, threshold))
     if not more.isEmpty():
         found = components(links.union(more))
