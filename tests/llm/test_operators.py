@@ -273,6 +273,32 @@ def test_near_dedup(docs, empty):
     assert o.near_classes(empty).count() == 0 and o.one_of_each(empty).count() == 0
 
 
+def test_differences_lose_no_link(spark):
+    """Noisy copies of one text, with some copies of copies: every similar pair not both linked to the head shares a row."""
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    from vetstone.llm import op06_minhash as o
+
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**32, 150, dtype=np.uint64).astype(np.uint32))
+    noisy = lambda x, k: np.unique(np.concatenate([rng.permutation(x)[k:], rng.integers(0, 2**32, int(k * rng.uniform(0, 1.5)), dtype=np.uint64).astype(np.uint32)]))
+    nodes = [base, *(noisy(base, int(rng.integers(2, 60))) for _ in range(150))]
+    nodes += [noisy(nodes[int(rng.integers(1, 150))], int(rng.integers(1, 20))) for _ in range(60)]
+    near = lambda x, y: (k := len(np.intersect1d(x, y))) >= 0.8 * (len(x) + len(y) - k) - 1e-9
+    home = [near(x, base) for x in nodes]
+    sets = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(nodes)], "n long, shingles binary")
+    rows = spark.createDataFrame([(i, 0, 0 if h else i, h) for i, h in enumerate(home)], "n long, p long, c long, home boolean")
+    met = o.differences(rows, sets)
+    one, two = (met.select("k", *(F.col(c).alias(f"{c}{i}") for c in ("side", "n"))) for i in (1, 2))
+    joined = one.join(two, "k").where("side1 < side2 or side1 = 2 and n1 < n2").select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
+    got = {(r.a, r.b) for r in joined.collect()}
+    want = {(i, j) for i in range(1, len(nodes)) for j in range(i + 1, len(nodes)) if not (home[i] and home[j]) and near(nodes[i], nodes[j])}
+    assert len(want) > 20 and sum(not h for h in home) > 50
+    assert want <= got
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     import numpy as np
 

@@ -10,8 +10,10 @@ the exact Jaccard similarity of the shingle sets, 0.8 or more.
 Equal texts are one node before any banding. A bucket isn't joined with itself at once: its nodes first try one head,
 the bucket's most met node, then STARS random nodes of the bucket's largest component, so that a large group of near
 copies costs some pairs for each of its members. What is then still in different components is compared in
-full, so that no link that a band offers is lost; of those pairs, ones whose sketches (a bit of each register) differ
-by five standard deviations more than at the threshold aren't verified.
+full in buckets of up to FULL nodes, so that no link that a band offers is lost; of those pairs, ones whose sketches (a
+bit of each register) differ by five standard deviations more than at the threshold aren't verified. In larger buckets,
+where many copies of one text may be near it but not each other, nodes are joined by what sets them apart from the head
+(see `differences`), which loses no link either and meets only where such parts are shared.
 
 Returns one row per row of the input: doc_id, class_id (the least doc_id of its class). Texts without words are classes
 of their own. Rows that share a doc_id are one node. A null id stays null and counts as the smallest. Extra columns are
@@ -20,6 +22,7 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,10 @@ BANDS, ROWS = 24, 4
 #: Registers; the first BANDS * ROWS are banded, a bit of each makes the sketch.
 REGISTERS = 256
 STARS = 3
+#: Nodes of a bucket up to which what its heads leave apart is compared pair by pair.
+FULL = 16
+#: Width of a class of slack, as a share of the head's shingles; its reciprocal bounds the rows a difference makes.
+STEP = 0.08
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +154,68 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return both.mapInArrow(run, "a long, b long")
 
 
+def differences(rows: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(k, side, n, c) for rows (n, p, c, home): shingles in which node n of component c differs from its head p.
+
+    With r = (1 - threshold) / (1 + threshold), x and y are similar if they differ in at most r (|x| + |y|) shingles. Let
+    D(x) be the difference of x and p and slack(x) = |D(x)| - r |x|; then D(x) and D(y) share at least
+    (slack(x) + slack(y)) / 2 shingles, which is more than none unless both are linked to p. So some of the first
+    |D(x)| - (slack(x) + slack(y)) / 2 + 1 of D(x) and of D(y), in one order, are shared. That order has the shingles
+    that p lacks first, for they are rarer. The other's slack is known by its class only: a node emits its first
+    shingles for every class in which a partner can be. Nodes of p's own component (home) only seek others, and these
+    have more than r |p| of slack. k hashes p, both classes and the shingle; side tells which class is the node's: 0 for
+    the lower, 1 for the higher, 2 where they are the same.
+    """
+    r = (1 - threshold) / (1 + threshold)
+    both = rows.join(sets.toDF("n", "x"), "n").join(sets.toDF("p", "y"), "p").select("n", "p", "c", "home", "x", "y")
+
+    def kind(slack: float, size: int) -> int:
+        u = slack / size
+        return math.floor((u if u <= 1 else 1 + math.log(u)) / STEP)
+
+    def least(k: int, size: int) -> float:
+        v = k * STEP
+        return size * (v if v <= 1 else math.exp(v - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: list[tuple] = []
+        parts: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            p, lo, hi, side, n, c = np.repeat(np.array(heads, np.int64), [len(x) for x in parts], axis=0).T
+            k = mix(p.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+            for x in (lo.astype(np.uint64), hi.astype(np.uint64), np.concatenate(parts).astype(np.uint64)):
+                k = mix(k * np.uint64(31) + x)
+            heads.clear()
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(side.astype(np.int8)), pa.array(n), pa.array(c)], ["k", "side", "n", "c"])
+
+        waiting = 0
+        for b in batches:
+            for n, p, c, home, x, y in zip(*(b.column(b.schema.get_field_index(k)) for k in ("n", "p", "c", "home", "x", "y")), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                apart = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
+                d, z, size = len(apart), len(x), len(y)
+                slack, reach = d - r * z, r * z * (1 + 1 / threshold)
+                own, low, high = kind(slack, size), d - reach - r * z / threshold, d + reach - r * z * threshold
+                for other in range(kind(max(low, r * size) if home.as_py() else low, size), kind(high, size) + 1):
+                    first = d - max(1, math.ceil((slack + least(other, size)) / 2 - 1e-6)) + 1
+                    if first > 0:
+                        heads.append((p.as_py(), min(own, other), max(own, other), 2 if own == other else int(own > other), n.as_py(), c.as_py()))
+                        parts.append(apart[:first])
+                        waiting += first
+                if waiting > 1 << 18:
+                    yield flush()
+                    waiting = 0
+        if parts:
+            yield flush()
+
+    return both.mapInArrow(run, "k long, side byte, n long, c long")
+
+
 def _apart(met: DataFrame, found: DataFrame) -> DataFrame:
-    """(b, n, z, c): the nodes of buckets that hold more than one component."""
-    part = met.join(found, "n", "left").select("b", "n", "z", F.coalesce("c", "n").alias("c"))
+    """(b, n, z, size, c): the nodes of buckets that hold more than one component."""
+    part = met.join(found, "n", "left").select("b", "n", "z", "size", F.coalesce("c", "n").alias("c"))
     split = part.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
     return part.join(split, "b", "left_semi")
 
@@ -173,7 +239,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
         return rows.join(heads, "b").where((F.col("c") != F.col("hc")) & near).select(F.least("n", "head").alias("a"), F.greatest("n", "head").alias("b")).distinct()
 
     popular = met.groupBy("n").agg(F.sum("size").alias("popular"))
-    heads = met.join(popular, "n").groupBy("b").agg(F.max_by(F.struct("n", "z"), F.struct("popular", F.bitwise_not(F.col("n")))).alias("h"))
+    heads = cut(met.join(popular, "n").groupBy("b").agg(F.max_by(F.struct("n", "z"), F.struct("popular", F.bitwise_not(F.col("n")))).alias("h"), F.max("size").alias("size")))
+    first = heads.where(F.col("size") > FULL).select("b", F.col("h.n").alias("p"))
     tried = cut(pairs(met.withColumn("c", F.col("n")), heads.select("b", F.col("h.n").alias("head"), F.col("h.z").alias("hz"), F.col("h.n").alias("hc"))))
     links = cut(verified(tried, sets, threshold))
     found = components(links)
@@ -186,15 +253,21 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     links = links.union(cut(verified(more, sets, threshold)))
     found = components(links)
     # what is left apart though a band offers it: pairs of different components in one bucket, each tried once
+    left = cut(_apart(met, found))
     bits = texts.select("n", "bits").dropDuplicates(["n"])
-    part = _apart(met, found).join(bits, "n").select("n", "b", "c", "bits", "z")
+    part = left.where(F.col("size") <= FULL).join(bits, "n").select("n", "b", "c", "bits", "z")
     m = max(REGISTERS, -(-bands * rows // 64) * 64)
     same = (1 + threshold) / 2
     far = m * (1 - same) + 5 * (m * same * (1 - same)) ** 0.5
     unlike = sum((F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(m // 64)), F.lit(0))
+    from_head = left.join(first, "b").select("n", "p", "c").distinct().join(found.toDF("p", "home"), "p", "left")
+    other = differences(from_head.select("n", "p", "c", (F.col("c") == F.coalesce("home", "p")).alias("home")), sets, threshold)
+    one, two = (other.select("k", *(F.col(c).alias(f"{c}{i}") for c in ("side", "n", "c"))) for i in (1, 2))
+    ordered = (F.col("side1") < F.col("side2")) | ((F.col("side1") == 2) & (F.col("n1") < F.col("n2")))
+    met_so = one.join(two, "k").where(ordered & (F.col("c1") != F.col("c2"))).select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"))
     left, right = part.toDF("a", "k", "ca", "x", "za"), part.toDF("o", "k", "co", "y", "zo")
     sizes = F.least("za", "zo") >= threshold * F.greatest("za", "zo")
-    rest = left.join(right, "k").where((F.col("a") < F.col("o")) & (F.col("ca") != F.col("co")) & sizes & (unlike <= far)).select("a", F.col("o").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = left.join(right, "k").where((F.col("a") < F.col("o")) & (F.col("ca") != F.col("co")) & sizes & (unlike <= far)).select("a", F.col("o").alias("b")).union(met_so).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(verified(rest, sets, threshold))
     if not more.isEmpty():
         found = components(links.union(more))
