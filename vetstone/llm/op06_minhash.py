@@ -7,7 +7,7 @@ process ends once its next arrival is later than every register. Two documents a
 equal to the probability Jaccard similarity of their weights. Registers are banded; what meets in a band is verified by
 the exact Jaccard similarity of the shingle sets, 0.8 or more.
 
-Equal texts are one node before any banding. A bucket isn't joined with itself at once: its nodes first try one head,
+A distinct text is a node, whatever ids its rows have; equal texts are one before any banding. A bucket isn't joined with itself at once: its nodes first try one head,
 the bucket's most met node, then STARS random nodes of the bucket's largest component, so that a large group of near
 copies costs some pairs for each of its members. What is then still in different components is compared in
 full in buckets of up to FULL nodes, so that no link that a band offers is lost; of those pairs, ones whose sketches (a
@@ -16,8 +16,8 @@ where many copies of one text may be near it but not each other, nodes are joine
 (see `differences`), which loses no link either and meets only where such parts are shared.
 
 Returns one row per row of the input: doc_id, class_id (the least doc_id of its class). Texts without words are classes
-of their own. Rows that share a doc_id are one node. A null id stays null and counts as the smallest. Extra columns are
-ignored. An empty table gives an empty result.
+of their own. Rows that share a doc_id are told apart by their text. A null id stays null and counts as the smallest.
+Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -220,17 +220,19 @@ def _apart(met: DataFrame, found: DataFrame) -> DataFrame:
     return part.join(split, "b", "left_semi")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, class_id."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
+    """One row per row of docs: d, e (the text's MD5), c (the class, null for a text without words), least (its least d)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.unhex(F.md5(text)).alias("e"), text.alias("text"))
     sketch = cut(sketches(ids, bands, rows, words))
-    texts = cut(sketch.groupBy("e").agg(F.min("d").alias("n"), *(F.first(c).alias(c) for c in ("bands", "bits", "z"))).where(F.size("bands") > 0))
+    # the checkpoint settles the texts' numbers
+    texts = sketch.groupBy("e").agg(F.min("d").alias("d"), *(F.first(c).alias(c) for c in ("bands", "bits", "z"))).where(F.size("bands") > 0)
+    texts = cut(texts.withColumn("n", F.monotonically_increasing_id()))
     met = texts.select("n", "z", F.explode("bands").alias("b"))
     buckets = met.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = cut(met.join(buckets, "b"))
-    nodes = met.select("n").distinct()
-    sets = ids.join(nodes, ids.d == nodes.n, "left_semi").select("d", "text")
+    nodes = texts.select("n", "d", "e").join(met.select("n").distinct(), "n", "left_semi")
+    sets = ids.join(nodes, ["d", "e"]).select("n", "text")
     sets = cut(shingle_sets(sets, words).dropDuplicates(["n"]))
 
     def pairs(rows: DataFrame, heads: DataFrame) -> DataFrame:
@@ -254,7 +256,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     found = components(links)
     # what is left apart though a band offers it: pairs of different components in one bucket, each tried once
     left = cut(_apart(met, found))
-    bits = texts.select("n", "bits").dropDuplicates(["n"])
+    bits = texts.select("n", "bits")
     part = left.where(F.col("size") <= FULL).join(bits, "n").select("n", "b", "c", "bits", "z")
     m = max(REGISTERS, -(-bands * rows // 64) * 64)
     same = (1 + threshold) / 2
@@ -271,9 +273,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     more = cut(verified(rest, sets, threshold))
     if not more.isEmpty():
         found = components(links.union(more))
-    # a class has the least doc_id of its nodes, which is the least node
-    label = texts.select("e", "n").join(found, "n", "left").select("e", F.coalesce("c", "n").alias("c"))
-    return sketch.select("d", "e").join(label, "e", "left").select(id_back().alias("doc_id"), id_back(F.coalesce("c", "d")).alias("class_id"))
+    label = cut(texts.select("e", "n", "d").join(found, "n", "left").select("e", "d", F.coalesce("c", "n").alias("c")))
+    label = label.select("e", "c").join(label.groupBy("c").agg(F.min("d").alias("least")), "c")
+    return sketch.select("d", "e").join(label, "e", "left").select("d", "e", "c", F.coalesce("least", "d").alias("least"))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
+    """One row per row of docs: doc_id, class_id."""
+    return classes(docs, threshold, bands, rows, words).select(id_back().alias("doc_id"), id_back("least").alias("class_id"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,11 +288,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class, that of the least doc_id; all columns stay. Of repeated rows one stays; rows of
-    one id that differ in text are one node, of which the least text stays."""
+    """docs with one row of each class, that of the least doc_id and then the least text hash; all columns stay. Of
+    repeated rows one stays, and so does every different text without words."""
     names = docs.columns
-    classes = near_classes(docs)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__d")).distinct()
-    key = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__x": F.xxhash64(F.coalesce("text", F.lit("")))}
-    chosen = docs.withColumns(key).groupBy("__d").agg(F.min("__x").alias("__x")).join(keep, "__d", "left_semi")
-    return docs.withColumns(key).join(chosen, ["__d", "__x"], "left_semi").dropDuplicates(["__d", "__x"]).select(*names)
+    each = cut(classes(docs).where("d = least").select("d", "e", "c"))
+    chosen = each.where("c is not null").groupBy("c").agg(F.min(F.struct("d", "e")).alias("row")).select("row.*")
+    chosen = chosen.union(each.where("c is null").select("d", "e").distinct()).toDF("__d", "__e")
+    key = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__e": F.unhex(F.md5(F.coalesce("text", F.lit(""))))}
+    return docs.withColumns(key).join(chosen, ["__d", "__e"], "left_semi").dropDuplicates(["__d", "__e"]).select(*names)
