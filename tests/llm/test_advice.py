@@ -18,3 +18,32 @@ def test_near_dedup_keeps_unrelated_texts_of_one_id(spark):
     assert sorted(map(str, kept)) == sorted(map(str, [*rows[:13], rows[14], *rows[17:]]))
     got = sorted(str((r.doc_id, r.class_id)) for r in o.near_classes(docs).collect())
     assert got == sorted(map(str, [*[(None, None)] * 14, (7, 7), (7, None), (7, 7), (8, None), (7, 7)]))
+
+
+def same_tag(rng, tail=""):
+    """Two different texts whose hashes agree in their low 15 bits."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    s = SparkSession.getActiveSession()
+    rows = s.createDataFrame([(f"{prose(rng, 30 + k % 5)} {k} {tail}".strip(),) for k in range(1500)], "t string")
+    pair = rows.groupBy(F.xxhash64("t").bitwiseAND(F.lit(0x7FFF)).alias("h")).agg(F.sort_array(F.collect_list("t")).alias("t")).where("size(t) > 1").orderBy("h").first()
+    return pair.t[:2]
+
+
+def test_substring_operators_keep_texts_of_one_id_apart(spark):
+    from vetstone.llm import op08_suffix_dedup, op09_substring_dedup
+
+    rng = random.Random(3)
+    a, b = same_tag(rng)
+    shared = prose(rng, 60)
+    c, d = same_tag(rng, shared)
+    # b repeats nothing, c and d only `shared`, at places that differ
+    rows = [(1, a + " " + shared), (5, a), (5, b), (6, c), (6, d), (None, "first " + prose(rng, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.kept for r in op09_substring_dedup.remove_repeats(docs).where("doc_id = 5").collect()}
+    assert got == {"", b}
+    kept = {bytes(r.kept).decode() for r in op08_suffix_dedup.remove_repeats(docs).where("doc_id = 5").collect()}
+    assert kept == {"", b}
+    for r in op09_substring_dedup.remove_repeats(docs).where("doc_id = 6").collect():
+        assert r.n_removed == 60 and r.kept in {c[: -len(shared)].strip(), d[: -len(shared)].strip()}

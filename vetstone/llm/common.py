@@ -36,17 +36,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids with several texts up to which they are broadcast.
+SHARED = 100_000
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """(d, th, text): never-null id, 15 bits of the text's hash to tell rows of one id apart, never-null text.
+    """(d, th, text): never-null id, 64-bit hash that tells texts of one id apart, never-null text.
 
-    Other columns, of whatever name, are left behind here.
+    th is 0 where an id has one text only, so that it costs nothing in a shuffle. Beyond SHARED ids with several texts
+    it is the hash everywhere. Other columns, of whatever name, are left behind here.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"),
-        F.xxhash64(text).bitwiseAND(F.lit(0x7FFF)).alias("th"),
-        text.alias("text"),
-    )
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
+    shared = cut(rows.groupBy("d").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("d", F.lit(1).alias("shared")))
+    count = shared.count()
+    if not count:
+        # always 0, but no literal: that would leave joins on (d, th) with d alone and one more exchange
+        return rows.withColumn("th", F.col("d").bitwiseAND(F.lit(0).cast("long")))
+    if count > SHARED:
+        return rows
+    return rows.join(F.broadcast(shared), "d", "left").select("d", F.when(F.col("shared") == 1, F.col("th")).otherwise(F.lit(0).cast("long")).alias("th"), "text")
 
 
 def id_back(d: str | Column = "d") -> Column:

@@ -118,12 +118,12 @@ def deep_shallow(m: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.
     return order, lcp
 
 
-def repeats_around(text: np.ndarray, offsets: np.ndarray, d: np.ndarray, p: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Among spans with equal anchors (whole groups): (d, p) of the windows that also start earlier.
+def repeats_around(text: np.ndarray, offsets: np.ndarray, d: np.ndarray, th: np.ndarray, p: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Among spans with equal anchors (whole groups): (d, th, p) of the windows that also start earlier.
 
     text, offsets: the bytes of each span, from its first window's start to its last one's end.
     """
-    s, n, off, th = R.unpack(p)
+    s, n, off = R.unpack(p)
     at = s + off
     o = np.lexsort((at, d))
     d, s, n, off, th, at = (x[o] for x in (d, s, n, off, th, at))
@@ -160,14 +160,14 @@ def repeats_around(text: np.ndarray, offsets: np.ndarray, d: np.ndarray, p: np.n
         items.append(hit[again])
         reach.append(np.full(again.sum(), k))
     if not items or not sum(map(len, items)):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     item, reach = np.concatenate(items), np.concatenate(reach)
     by = np.lexsort((-reach, item))
     item, start = item[by], (at[item] - reach)[by]
     new = np.ones(len(item), bool)
     new[1:] = (item[1:] != item[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
-    return d[item[first]], R.found(R.pack(start[first], np.diff(np.append(first, len(item))), 0, th[item[first]]))
+    return d[item[first]], th[item[first]], R.found(R.pack(start[first], np.diff(np.append(first, len(item))), 0))
 
 
 def sequence(raw: np.ndarray, offsets: np.ndarray, which: int = 0) -> tuple[Prefix, np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def sequence(raw: np.ndarray, offsets: np.ndarray, which: int = 0) -> tuple[Pref
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """(d, p): windows of `width` bytes that also start earlier. docs: as keyed() makes them."""
+    """(d, th, p): windows of `width` bytes that also start earlier. docs: as keyed() makes them."""
     first = R.decide(R.spans_of_docs(docs, sequence, width, anchor, True), True, hot)
     asked = R.with_text(docs, first, "inner", "k", "p", "q")
 
@@ -185,15 +185,15 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
             raw, offsets = string_buffers(b.column(b.schema.get_field_index("text")))
             row, (k, p, q) = R.row_lists(b, "k", "p", "q")
             done = q == 0
-            yield with_bytes(R.batch_of(R.spread(d[row[done]], p[done]), np.zeros(done.sum(), np.int64), d[row[done]], p[done]))
+            yield with_bytes(R.batch_of(R.spread(d[row[done]], th[row[done]], p[done]), np.zeros(done.sum(), np.int64), d[row[done]], th[row[done]], p[done]))
             cold = np.flatnonzero(q == 1)
-            s, n, _, _ = R.unpack(p[cold])
+            s, n, _ = R.unpack(p[cold])
             begin = offsets[row[cold]] + s
             size = n + width - 1
             to = np.concatenate([[0], np.cumsum(size)])
             data = raw[np.repeat(begin - to[:-1], size) + np.arange(to[-1])]
             x = pa.Array.from_buffers(pa.binary(), len(cold), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data)])
-            yield R.batch_of(k[cold], np.zeros(len(cold), np.int64), d[row[cold]], p[cold], x)
+            yield R.batch_of(k[cold], np.zeros(len(cold), np.int64), d[row[cold]], th[row[cold]], p[cold], x)
             warm = np.flatnonzero(q == 2)
             o = warm[np.argsort(row[warm], kind="stable")]
             for i, j in pieces(offsets) if len(o) else ():
@@ -201,36 +201,36 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
                 if not len(part):
                     continue
                 text = raw[offsets[i] : offsets[j]]
-                s, n, _, _ = R.unpack(p[part])
+                s, n, _ = R.unpack(p[part])
                 r = np.repeat(row[part], n)
                 w = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 g = offsets[r] - offsets[i] + w
                 one, two = (Prefix(text, y).slices(g, g + width).view(np.int64) for y in (0, 1))
-                yield with_bytes(R.combined(one, two, d[r], R.pack(w, 1, 0, th[r]), True))
+                yield with_bytes(R.combined(one, two, d[r], th[r], R.pack(w, 1, 0), True))
 
     def with_bytes(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.binary())], [*b.schema.names, "x"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "k"):
-            k, c, d, p = (longs(t, x) for x in "kcdp")
+            k, c, d, th, p = (longs(t, x) for x in ("k", "c", "d", "th", "p"))
             x = t.column("x").combine_chunks()
             x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
             text_here = x.is_valid().to_numpy(zero_copy_only=False)
             known = p < 0
-            yield out(d[known], p[known])
+            yield out(d[known], th[known], p[known])
             by_hash = np.flatnonzero(~known & ~text_here)
             o, later = R.earliest(k[by_hash], c[by_hash], d[by_hash], p[by_hash], True)
             o = by_hash[o[later]]
-            yield out(d[o], R.found(p[o]))
+            yield out(d[o], th[o], R.found(p[o]))
             if text_here.any():
                 raw, offsets = string_buffers(x.filter(pa.array(text_here)))
-                yield out(*repeats_around(raw, offsets, d[text_here], p[text_here], width))
+                yield out(*repeats_around(raw, offsets, d[text_here], th[text_here], p[text_here], width))
 
-    def out(d, p):
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p)], ["d", "p"])
+    def out(d, th, p):
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(th), pa.array(p)], ["d", "th", "p"])
 
-    return R.grouped(asked.mapInArrow(extend, R.ROWS + ", x binary")).mapInArrow(settle, "d long, p long")
+    return R.grouped(asked.mapInArrow(extend, R.ROWS + ", x binary")).mapInArrow(settle, "d long, th long, p long")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for b in batches:
             raw, offsets = string_buffers(b.column(b.schema.get_field_index("text")))
             row, (p,) = R.row_lists(b, "p")
-            s, n, _, _ = R.unpack(-p - 1)
+            s, n, _ = R.unpack(-p - 1)
             o = np.argsort(row, kind="stable")
             row, s, n = row[o], s[o], n[o]
             removed, runs, kept = [], [], []

@@ -54,7 +54,7 @@ def windows(b: pa.RecordBatch, words: int, same_doc: bool = False) -> Iterator[p
     row, (p,) = R.row_lists(b, "p")
     done = p < 0
     zero = np.zeros(done.sum(), np.int64)
-    yield R.batch_of(R.spread(d[row[done]], p[done]), zero, d[row[done]], p[done])
+    yield R.batch_of(R.spread(d[row[done]], th[row[done]], p[done]), zero, d[row[done]], th[row[done]], p[done])
     row, p = row[~done], p[~done]
     o = np.argsort(row, kind="stable")
     row, p = row[o], p[o]
@@ -64,15 +64,15 @@ def windows(b: pa.RecordBatch, words: int, same_doc: bool = False) -> Iterator[p
             continue
         text, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         (one, first, _), (two, _, _) = sequence(text, at), sequence(text, at, 1)
-        s, n, _, _ = R.unpack(p[lo:hi])
+        s, n, _ = R.unpack(p[lo:hi])
         r = np.repeat(row[lo:hi], n)
         s = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
         g = first[r - i] + s
-        yield R.combined(one.slices(g, g + words).view(np.int64), two.slices(g, g + words).view(np.int64), d[r], R.pack(s, 1, 0, th[r]), same_doc)
+        yield R.combined(one.slices(g, g + words).view(np.int64), two.slices(g, g + words).view(np.int64), d[r], th[r], R.pack(s, 1, 0), same_doc)
 
 
 def repeated_windows(docs: DataFrame, words: int = 13) -> DataFrame:
-    """(d, p): windows of `words` words that also start in an earlier document. docs: as keyed() makes them."""
+    """(d, th, p): windows of `words` words that also start in an earlier document. docs: as keyed() makes them."""
     level1 = R.decide(R.spans_of_docs(docs, sequence, words, (words + 1) // 2, False), False, HOT)
     asked = R.with_text(docs, level1, "inner", "p")
 
@@ -103,8 +103,8 @@ def _n(p):
 
 def _doubled(docs: DataFrame, last: DataFrame, half: int) -> DataFrame:
     """Windows of twice `half` words of which both halves repeat, kept if the whole repeats."""
-    each = last.select("d", F.explode(F.expr(f"sequence(shiftright(-p - 1, {R.S_BITS}), shiftright(-p - 1, {R.S_BITS}) + (shiftright(-p - 1, {R.N_BITS}) & 127) - 1)")).alias("s"), R.tag(F.col("p")).alias("t")).distinct()
-    ask = each.join(each.select("d", "t", (F.col("s") - half).alias("s")), ["d", "s", "t"]).select("d", (F.shiftleft(F.col("s"), R.S_BITS) + F.lit(1 << R.N_BITS) + F.col("t")).alias("p"))
+    each = last.select("d", "th", F.explode(F.expr(f"sequence(shiftright(-p - 1, {R.S_BITS}), shiftright(-p - 1, {R.S_BITS}) + (shiftright(-p - 1, {R.N_BITS}) & 127) - 1)")).alias("s")).distinct()
+    ask = each.join(each.select("d", "th", (F.col("s") - half).alias("s")), ["d", "s", "th"]).select("d", "th", (F.shiftleft(F.col("s"), R.S_BITS) + F.lit(1 << R.N_BITS)).alias("p"))
     # the earliest copy is no found repeat itself, so candidates are compared with all windows whose halves occur
     keys = docs.mapInArrow(lambda bs: (x for b in bs for x in _all_windows(b, half * 2)), R.ROWS)
     wanted = R.with_text(docs, ask, "inner", "p").mapInArrow(lambda bs: (x for b in bs for x in windows(b, half * 2)), R.ROWS).where("p >= 0").select("k").distinct()
@@ -121,7 +121,7 @@ def _all_windows(b: pa.RecordBatch, words: int) -> Iterator[pa.RecordBatch]:
         r = np.repeat(np.arange(i, j), n)
         s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         g = first[r - i] + s
-        yield R.batch_of(one.slices(g, g + words), two.slices(g, g + words), d[r], R.pack(s, 1, 0, th[r]))
+        yield R.batch_of(one.slices(g, g + words), two.slices(g, g + words), d[r], th[r], R.pack(s, 1, 0))
 
 
 def remove_repeats(docs: DataFrame, words: int = 13) -> DataFrame:
@@ -133,7 +133,7 @@ def remove_repeats(docs: DataFrame, words: int = 13) -> DataFrame:
         for b in batches:
             raw, offsets = string_buffers(b.column(b.schema.get_field_index("text")))
             row, (p,) = R.row_lists(b, "p")
-            s, n, _, _ = R.unpack(-p - 1)
+            s, n, _ = R.unpack(-p - 1)
             n_words, n_removed, kept = [], [], []
             o = np.argsort(row, kind="stable")
             row, s, n = row[o], s[o], n[o]

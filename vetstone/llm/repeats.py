@@ -10,7 +10,7 @@ equal anchors, hence:
 2. only spans whose anchor also occurs with other content are undecided: these are cut from the text again and
    resolved window by window.
 
-All rows are (k, c, d, p): group key, content hash, document, packed position. A task keeps one row of each content per
+All rows are (k, c, d, th, p): group key, content hash, document, its text's hash, packed position. A task keeps one row of each content per
 batch before the shuffle, so that a passage that fills a third of the corpus costs one row per batch.
 """
 
@@ -20,24 +20,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vetstone.llm.common import Prefix, longs, mix, sliding_min, string_buffers, whole_groups
 
-ROWS = "k long, c long, d long, p long"
-#: Packed position: start << 29 | number of windows << 22 | anchor's offset << 15 | text tag; negative: a found repeat.
-S_BITS, N_BITS, T_BITS = 29, 22, 15
+ROWS = "k long, c long, d long, th long, p long"
+#: Packed position: start << 29 | number of windows << 22 | anchor's offset << 15; negative: a found repeat.
+S_BITS, N_BITS, O_BITS = 29, 22, 15
 
 
-def pack(s, n, off, th) -> np.ndarray:
+def pack(s, n, off) -> np.ndarray:
     i = np.int64
-    return (np.asarray(s, i) << i(S_BITS)) | (np.asarray(n, i) << i(N_BITS)) | (np.asarray(off, i) << i(T_BITS)) | np.asarray(th, i)
+    return (np.asarray(s, i) << i(S_BITS)) | (np.asarray(n, i) << i(N_BITS)) | (np.asarray(off, i) << i(O_BITS))
 
 
-def unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """start, number of windows, anchor's offset, text tag."""
-    return p >> S_BITS, (p >> N_BITS) & 127, (p >> T_BITS) & 127, p & 0x7FFF
+def unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, number of windows, anchor's offset."""
+    return p >> S_BITS, (p >> N_BITS) & 127, (p >> O_BITS) & 127
 
 
 def found(p: np.ndarray) -> np.ndarray:
@@ -81,19 +81,19 @@ def spans(grams: np.ndarray, seq: Prefix, doc_start: np.ndarray, doc_end: np.nda
     return {"doc": np.searchsorted(doc_start, s, "right") - 1, "s": s, "n": count, "off": off, "anchor": a, "h": grams[a], "c": c}
 
 
-def batch_of(k, c, d, p, extra: pa.Array | None = None) -> pa.RecordBatch:
-    k, c, d, p = (np.ascontiguousarray(x).view(np.int64) for x in (k, c, d, p))
+def batch_of(k, c, d, th, p, extra: pa.Array | None = None) -> pa.RecordBatch:
+    k, c, d, th, p = (np.ascontiguousarray(x).view(np.int64) for x in (k, c, d, th, p))
     # 64 bits of k and 40 of c tell contents apart; what isn't sent compresses to nothing
-    arrays = [pa.array(x) for x in (k, c & ((1 << 40) - 1), d, p)]
-    names = ["k", "c", "d", "p"]
+    arrays = [pa.array(x) for x in (k, c & ((1 << 40) - 1), d, th, p)]
+    names = ["k", "c", "d", "th", "p"]
     if extra is not None:
         arrays, names = [*arrays, extra], [*names, "x"]
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def spread(d: np.ndarray, p: np.ndarray) -> np.ndarray:
+def spread(d: np.ndarray, th: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Keys for rows that no longer need company: anywhere, evenly."""
-    return mix(d.view(np.uint64) ^ (p.view(np.uint64) >> np.uint64(13))).view(np.int64)
+    return mix(d.view(np.uint64) ^ th.view(np.uint64) ^ (p.view(np.uint64) >> np.uint64(13))).view(np.int64)
 
 
 def earliest(k, c, d, p, same_doc: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +112,12 @@ def earliest(k, c, d, p, same_doc: bool) -> tuple[np.ndarray, np.ndarray]:
     return o, later
 
 
-def combined(k, c, d, p, same_doc: bool) -> pa.RecordBatch:
+def combined(k, c, d, th, p, same_doc: bool) -> pa.RecordBatch:
     """One batch's rows: those of repeats within the batch marked as found, the rest to be grouped by k."""
     o, later = earliest(k, c, d, p, same_doc)
-    k, c, d, p = k[o], c[o], d[o], p[o]
+    k, c, d, th, p = k[o], c[o], d[o], th[o], p[o]
     p = np.where(later, found(p), p)
-    return batch_of(np.where(later, spread(d, p), k), np.where(later, 0, c), d, p)
+    return batch_of(np.where(later, spread(d, th, p), k), np.where(later, 0, c), d, th, p)
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -130,15 +130,15 @@ def decide(rows: DataFrame, same_doc: bool, hot: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "k"):
-            k, c, d, p = (longs(t, x) for x in "kcdp")
+            k, c, d, th, p = (longs(t, x) for x in ("k", "c", "d", "th", "p"))
             known = p < 0
-            yield out(k[known], d[known], p[known], np.zeros(known.sum(), np.int32))
-            k, c, d, p = (x[~known] for x in (k, c, d, p))
+            yield out(k[known], d[known], th[known], p[known], np.zeros(known.sum(), np.int32))
+            k, c, d, th, p = (x[~known] for x in (k, c, d, th, p))
             if not len(k):
                 continue
             o, later = earliest(k, c, d, p, same_doc)
-            k, c, d, p = k[o], c[o], d[o], p[o]
-            yield out(k[later], d[later], found(p[later]), np.zeros(later.sum(), np.int32))
+            k, c, d, th, p = k[o], c[o], d[o], th[o], p[o]
+            yield out(k[later], d[later], th[later], found(p[later]), np.zeros(later.sum(), np.int32))
             group = np.ones(len(k), bool)
             group[1:] = k[1:] != k[:-1]
             content = group.copy()
@@ -146,37 +146,32 @@ def decide(rows: DataFrame, same_doc: bool, hot: int) -> DataFrame:
             g = np.cumsum(group) - 1
             contents = np.bincount(g, content)[g]
             open_ = ~later & (contents > 1)
-            yield out(k[open_], d[open_], p[open_], np.where(contents[open_] > hot, 2, 1).astype(np.int32))
+            yield out(k[open_], d[open_], th[open_], p[open_], np.where(contents[open_] > hot, 2, 1).astype(np.int32))
 
-    def out(k, d, p, q):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, d, p, q)], ["k", "d", "p", "q"])
+    def out(k, d, th, p, q):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, d, th, p, q)], ["k", "d", "th", "p", "q"])
 
-    return grouped(rows).mapInArrow(run, "k long, d long, p long, q int")
+    return grouped(rows).mapInArrow(run, "k long, d long, th long, p long, q int")
 
 
 def found_only(rows: DataFrame, same_doc: bool) -> DataFrame:
-    """(d, p) of the found repeats among rows grouped by whole windows."""
+    """(d, th, p) of the found repeats among rows grouped by whole windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "k"):
-            k, c, d, p = (longs(t, x) for x in "kcdp")
+            k, c, d, th, p = (longs(t, x) for x in ("k", "c", "d", "th", "p"))
             known = p < 0
             open_ = np.flatnonzero(~known)
             o, later = earliest(k[open_], c[open_], d[open_], p[open_], same_doc)
             o = open_[o[later]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[known], d[o]])), pa.array(np.concatenate([p[known], found(p[o])]))], ["d", "p"])
-
-    return grouped(rows).mapInArrow(run, "d long, p long")
-
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[known], d[o]])), pa.array(np.concatenate([th[known], th[o]])), pa.array(np.concatenate([p[known], found(p[o])]))], ["d", "th", "p"])
 
-def tag(p: Column) -> Column:
-    """The text tag of a packed position, found or not."""
-    return F.when(p < 0, -p - 1).otherwise(p).bitwiseAND(F.lit(0x7FFF))
+    return grouped(rows).mapInArrow(run, "d long, th long, p long")
 
 
 def with_text(docs: DataFrame, rows: DataFrame, how: str, *cols: str) -> DataFrame:
     """Each document that has rows (or every one, for how="left") with the list of its rows."""
-    lists = rows.groupBy("d", tag(F.col("p")).alias("th")).agg(F.collect_list(F.struct(*cols)).alias("rows"))
+    lists = rows.groupBy("d", "th").agg(F.collect_list(F.struct(*cols)).alias("rows"))
     return docs.join(lists, ["d", "th"], how)
 
 
@@ -209,7 +204,7 @@ def spans_of_docs(docs: DataFrame, sequence: Callable, width: int, k: int, same_
                 seq, start, end = sequence(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 x = spans(seq.grams(k), seq, start, end, width, k)
                 doc = x["doc"] + i
-                got.append((x["h"].view(np.int64), x["c"].view(np.int64), d[doc], pack(x["s"] - start[x["doc"]], x["n"], x["off"], th[doc])))
+                got.append((x["h"].view(np.int64), x["c"].view(np.int64), d[doc], th[doc], pack(x["s"] - start[x["doc"]], x["n"], x["off"])))
             if got:
                 yield combined(*(np.concatenate(y) for y in zip(*got, strict=True)), same_doc)
 
