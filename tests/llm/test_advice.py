@@ -47,3 +47,25 @@ def test_substring_operators_keep_texts_of_one_id_apart(spark):
     assert kept == {"", b}
     for r in op09_substring_dedup.remove_repeats(docs).where("doc_id = 6").collect():
         assert r.n_removed == 60 and r.kept in {c[: -len(shared)].strip(), d[: -len(shared)].strip()}
+
+
+def test_near_copies_meet_however_often_one_repeats_a_passage():
+    """Set similarity 20 / 25, weights far apart: 24 bands miss one such pair in 300,000, and with weights many."""
+    import numpy as np
+
+    from vetstone.llm import op06_minhash as o
+
+    rng = random.Random(7)
+    missed = 0
+    for k in range(60):
+        passage = " ".join(f"p{k}x{i}" for i in range(24))
+        rest = " ".join(f"r{k}x{i}" for i in range(84))
+        tail = " ".join(f"t{k}x{rng.random()}" for i in range(5))
+        a, b = f"{rest} {' '.join([passage] * 200)}", f"{rest} {passage} {tail}"
+        raw = np.frombuffer((a + b).encode(), np.uint8)
+        doc, g, w = o.weighted(*o.shingles(raw, np.array([0, len(a), len(a) + len(b)])))
+        x, y = set(g[doc == 0]), set(g[doc == 1])
+        assert len(x & y) >= 0.8 * len(x | y)
+        sig = o.prob_minhash(doc, g, w, 2, o.BANDS * o.ROWS).reshape(2, o.BANDS, o.ROWS)
+        missed += not (sig[0] == sig[1]).all(1).any()
+    assert missed == 0

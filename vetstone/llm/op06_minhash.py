@@ -1,19 +1,19 @@
 """MinHash near-dedup with ProbMinHash.
 
 A document is its distinct shingles of five words (runs of bytes other than white space, unchanged; a shorter text is
-one shingle), weighted by 1 + ln(occurrences). Each shingle is a Poisson process of that rate: its arrivals, at times
-drawn from the shingle's hash alone, fall into random registers, a register keeps the shingle that arrives first, and a
+one shingle), all of one weight, since links are of sets: with weights by occurrences, texts that differ in how often
+they repeat a passage would escape the bands. Each shingle is a Poisson process of rate 1: its arrivals, at times drawn
+from the shingle's hash alone, fall into random registers, a register keeps the shingle that arrives first, and a
 process ends once its next arrival is later than every register. Two documents agree in a register with a probability
-equal to the probability Jaccard similarity of their weights. Registers are banded; what meets in a band is verified by
-the exact Jaccard similarity of the shingle sets, 0.8 or more.
+equal to the probability Jaccard similarity of their weights, here the Jaccard similarity of the sets. Registers are
+banded; what meets in a band is verified by the exact Jaccard similarity of the shingle sets, 0.8 or more.
 
-A distinct text is a node, whatever ids its rows have; equal texts are one before any banding. A bucket isn't joined with itself at once: its nodes first try one head,
-the bucket's most met node, then STARS random nodes of the bucket's largest component, so that a large group of near
-copies costs some pairs for each of its members. What is then still in different components is compared in
-full in buckets of up to FULL nodes, so that no link that a band offers is lost; of those pairs, ones whose sketches (a
-bit of each register) differ by five standard deviations more than at the threshold aren't verified. In larger buckets,
-where many copies of one text may be near it but not each other, nodes are joined by what sets them apart from the head
-(see `differences`), which loses no link either and meets only where such parts are shared.
+A distinct text is a node, whatever ids its rows have; equal texts are one before any banding. A bucket isn't joined
+with itself at once: its nodes first try one head, the bucket's most met node, then STARS random nodes of the bucket's
+largest component, so that a large group of near copies costs some pairs for each of its members. What is then still in
+different components is compared in full in buckets of up to FULL nodes, so that no link that a band offers is lost. In
+larger buckets, where many copies of one text may be near it but not each other, nodes are joined by what sets them
+apart from the head (see `differences`), which loses no link either and meets only where such parts are shared.
 
 Returns one row per row of the input: doc_id, class_id (the least doc_id of its class). Texts without words are classes
 of their own. Rows that share a doc_id are told apart by their text. A null id stays null and counts as the smallest.
@@ -37,8 +37,6 @@ from vetstone.llm.op09_substring_dedup import words_of
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-#: Registers; the first BANDS * ROWS are banded, a bit of each makes the sketch.
-REGISTERS = 256
 STARS = 3
 #: Nodes of a bucket up to which what its heads leave apart is compared pair by pair.
 FULL = 16
@@ -58,13 +56,12 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[
 
 
 def weighted(doc: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, shingle), with 1 + ln(occurrences)."""
+    """Distinct (document, shingle), each of weight 1."""
     o = np.lexsort((g, doc))
     doc, g = doc[o], g[o]
     new = np.ones(len(o), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], g[at], 1 + np.log(np.diff(np.append(at, len(o))))
+    return doc[new], g[new], np.ones(new.sum())
 
 
 def prob_minhash(doc: np.ndarray, g: np.ndarray, w: np.ndarray, docs: int, m: int) -> np.ndarray:
@@ -93,31 +90,27 @@ def prob_minhash(doc: np.ndarray, g: np.ndarray, w: np.ndarray, docs: int, m: in
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(d, e, bands, bits, z): e names the text, z counts its shingles; no bands for a text without words."""
-    m = max(REGISTERS, -(-bands * rows // 64) * 64)
+    """(d, e, bands, z): e names the text, z counts its shingles; no bands for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = string_buffers(b.column(b.schema.get_field_index("text")))
-            out, count, bits = [], [], []
+            out, count = [], []
             for i, j in pieces(offsets, 1 << 21):
                 doc, g, w = weighted(*shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words))
-                sig = prob_minhash(doc, g, w, j - i, m)
-                bits.append(np.packbits((sig >> np.uint64(17) & np.uint64(1)).astype(bool), axis=1).view(np.int64))
-                sig = sig[:, : bands * rows].reshape(j - i, bands, rows)
+                sig = prob_minhash(doc, g, w, j - i, bands * rows).reshape(j - i, bands, rows)
                 key = np.zeros((j - i, bands), np.uint64)
                 for r in range(rows):
                     key = mix(key * np.uint64(31) + sig[:, :, r])
                 key = mix(key + np.arange(1, bands + 1, dtype=np.uint64))
                 out.append(key.view(np.int64))
                 count.append(np.bincount(doc, minlength=j - i))
-            keys, count, bits = (np.concatenate(x) for x in (out, count, bits))
+            keys, count = (np.concatenate(x) for x in (out, count))
             some = count > 0
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), bits.shape[1]).cast(pa.list_(pa.int64()))
             at = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), flat, pa.array(count)], ["d", "e", "bands", "bits", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), pa.array(count)], ["d", "e", "bands", "z"])
 
-    return docs.mapInArrow(run, "d long, e binary, bands array<long>, bits array<long>, z long")
+    return docs.mapInArrow(run, "d long, e binary, bands array<long>, z long")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -226,7 +219,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.unhex(F.md5(text)).alias("e"), text.alias("text"))
     sketch = cut(sketches(ids, bands, rows, words))
     # the checkpoint settles the texts' numbers
-    texts = sketch.groupBy("e").agg(F.min("d").alias("d"), *(F.first(c).alias(c) for c in ("bands", "bits", "z"))).where(F.size("bands") > 0)
+    texts = sketch.groupBy("e").agg(F.min("d").alias("d"), *(F.first(c).alias(c) for c in ("bands", "z"))).where(F.size("bands") > 0)
     texts = cut(texts.withColumn("n", F.monotonically_increasing_id()))
     met = texts.select("n", "z", F.explode("bands").alias("b"))
     buckets = met.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -256,20 +249,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     found = components(links)
     # what is left apart though a band offers it: pairs of different components in one bucket, each tried once
     left = cut(_apart(met, found))
-    bits = texts.select("n", "bits")
-    part = left.where(F.col("size") <= FULL).join(bits, "n").select("n", "b", "c", "bits", "z")
-    m = max(REGISTERS, -(-bands * rows // 64) * 64)
-    same = (1 + threshold) / 2
-    far = m * (1 - same) + 5 * (m * same * (1 - same)) ** 0.5
-    unlike = sum((F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(m // 64)), F.lit(0))
+    part = left.where(F.col("size") <= FULL).select("n", "b", "c", "z")
     from_head = left.join(first, "b").select("n", "p", "c").distinct().join(found.toDF("p", "home"), "p", "left")
     other = differences(from_head.select("n", "p", "c", (F.col("c") == F.coalesce("home", "p")).alias("home")), sets, threshold)
     one, two = (other.select("k", *(F.col(c).alias(f"{c}{i}") for c in ("side", "n", "c"))) for i in (1, 2))
     ordered = (F.col("side1") < F.col("side2")) | ((F.col("side1") == 2) & (F.col("n1") < F.col("n2")))
     met_so = one.join(two, "k").where(ordered & (F.col("c1") != F.col("c2"))).select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"))
-    left, right = part.toDF("a", "k", "ca", "x", "za"), part.toDF("o", "k", "co", "y", "zo")
+    left, right = part.toDF("a", "k", "ca", "za"), part.toDF("o", "k", "co", "zo")
     sizes = F.least("za", "zo") >= threshold * F.greatest("za", "zo")
-    rest = left.join(right, "k").where((F.col("a") < F.col("o")) & (F.col("ca") != F.col("co")) & sizes & (unlike <= far)).select("a", F.col("o").alias("b")).union(met_so).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = left.join(right, "k").where((F.col("a") < F.col("o")) & (F.col("ca") != F.col("co")) & sizes).select("a", F.col("o").alias("b")).union(met_so).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(verified(rest, sets, threshold))
     if not more.isEmpty():
         found = components(links.union(more))
