@@ -69,3 +69,15 @@ def test_near_copies_meet_however_often_one_repeats_a_passage():
         sig = o.prob_minhash(doc, g, w, 2, o.BANDS * o.ROWS).reshape(2, o.BANDS, o.ROWS)
         missed += not (sig[0] == sig[1]).all(1).any()
     assert missed == 0
+
+
+def test_secret_queries_read_lines_of_any_length(spark, tmp_path):
+    from vetstone.operators import secrets
+    from vetstone.plans.registry import QUERIES
+
+    line = "a b " * 20_000 + "AKIA" + "ABCDEFGHIJKLMNOP"[::-1] + " c"
+    docs = spark.createDataFrame([(1, line, "en", "s", len(line))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("secret_lines", "secret_findings_merged", "secret_findings_ranked"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == 1, name
+    assert secrets.detect(docs.selectExpr("'x' AS path", "text")).count() == 0

@@ -75,7 +75,7 @@ s AS (
 @query(f"WITH {_LINES}, {_HITS} SELECT path, CAST(line AS BIGINT) AS line, rule_id, severity, confidence, substr(sha256(value), 1, 16) AS fingerprint, CASE WHEN length(value) > 8 THEN substr(value, 1, 2) || '****' || substr(value, -2) ELSE repeat('*', length(value)) END AS mask FROM s")
 def secret_lines(spark, sf_dir):
     """Provider rules, the entropy fallback and the noise rules over all lines of all documents."""
-    return secrets.emissions(secrets.detect(_files(spark, sf_dir)), _sha).drop("engine_id")
+    return secrets.emissions(secrets.detect(_files(spark, sf_dir), longest=None), _sha).drop("engine_id")
 
 
 @query(f"""WITH {_LINES}, {_HITS} SELECT rule_id, path, substr(sha256(value), 1, 16) AS fingerprint, CAST(count(*) AS BIGINT) AS seen, CAST(min(line) AS BIGINT) AS first_line, max(severity) AS severity,
@@ -83,7 +83,7 @@ def secret_lines(spark, sf_dir):
   FROM s GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY rule_id, path, fingerprint").replace("100.0 * CASE", "round(100.0 * (CASE").replace("* 1.0 AS risk", "* 1.0), 6) AS risk"))
 def secret_findings_merged(spark, sf_dir):
     """Observations of one secret in one file merged, with a fingerprint and a score."""
-    seen = secrets.emissions(secrets.detect(_files(spark, sf_dir)), _sha)
+    seen = secrets.emissions(secrets.detect(_files(spark, sf_dir), longest=None), _sha)
     out = seen.groupBy("rule_id", "path", "fingerprint").agg(F.count(F.lit(1)).alias("seen"), F.min("line").alias("first_line"), F.max("severity").alias("severity"), F.max("confidence").alias("c"))
     none = F.lit(None).cast("string")
     s = score.score(F.col("severity"), F.lit(False), F.lit("no_cve"), F.lit(None).cast("double"), F.col("c"), none, none)
@@ -93,7 +93,7 @@ def secret_findings_merged(spark, sf_dir):
 @query()
 def secret_findings_ranked(spark, sf_dir):
     """The whole path: detect, merge by identity, id, score, rank. Ids are BLAKE3, which SQL doesn't have."""
-    found = merge.merge(secrets.raw(secrets.emissions(secrets.detect(_files(spark, sf_dir)), hashing.fingerprint_udf)))
+    found = merge.merge(secrets.raw(secrets.emissions(secrets.detect(_files(spark, sf_dir), longest=None), hashing.fingerprint_udf)))
     none = F.lit(None).cast("string")
     s = score.score(F.col("severity"), F.lit(False), F.lit("no_cve"), F.lit(None).cast("double"), F.col("confidence"), none, none)
     i = F.col("identity")
