@@ -81,3 +81,12 @@ def test_secret_queries_read_lines_of_any_length(spark, tmp_path):
     for name in ("secret_lines", "secret_findings_merged", "secret_findings_ranked"):
         assert QUERIES[name](spark, str(tmp_path)).count() == 1, name
     assert secrets.detect(docs.selectExpr("'x' AS path", "text")).count() == 0
+
+
+def test_line_dedup_takes_out_short_repeats(spark):
+    from vetstone.llm import op07_line_dedup as o
+
+    rows = [(3, "Les.\n\nmore\nAnd ornd."), (1, "Les.\n\none\nLes."), (1, "Les.\n\none\nLes."), (None, "Lez.\n \nx"), (4, "x \nx"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(str, ((r.doc_id, r.text) for r in o.without_repeats(docs).collect())))
+    assert got == sorted(map(str, [(3, "\nmore\nAnd ornd."), (1, "Les.\n\none"), (1, "Les.\n\none"), (None, "Lez.\n \nx"), (4, "x "), (5, None)]))

@@ -9,7 +9,8 @@ A bucket of up to `BUCKET` lines is joined with itself. In a larger one lines me
 left out, which any two within one edit share: as many rows as characters, never all pairs of a hot segment.
 
 Equal lines are one line before any of that (named by their MD5). Lines of fewer than `LEAST` characters, spaces around
-not counted, take no part: they are short by nature and repeat in clean text. A line goes if an equal one, or one within
+not counted, take no part in that and get no row; `without_repeats` takes them out where an equal line occurs earlier,
+unless they are blank. A line goes if an equal one, or one within
 TAU edits, occurs earlier (smaller doc_id, then smaller line number); that is judged on the input.
 
 Null text is empty, one empty line. Rows that share a doc_id are told apart by their text; equal rows keep the same
@@ -158,9 +159,17 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     return judged(docs).select(id_back().alias("doc_id"), F.col("i").cast("long").alias("line_no"), id_back(F.col("first.d")).alias("class_doc_id"), F.col("first.i").cast("long").alias("class_line_no"), "n_links", "removed")
 
 
+def short_repeats(docs: DataFrame) -> DataFrame:
+    """(d, x, i) of the lines under LEAST characters, blank ones aside, of which an equal one occurs earlier."""
+    line = F.col("line")
+    rows = lines_of(docs).where(~long_enough(line) & (F.trim(line) != "")).select("d", "x", "i", "line")
+    firsts = rows.groupBy("line").agg(F.min(F.struct("d", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "first")
+    return rows.join(firsts, "line").where(F.struct("d", "i") > F.col("first")).select("d", "x", "i")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with their later lines taken out of `text`; every row and every other column stays."""
-    gone = judged(docs).where("removed").groupBy("d", "x").agg(F.collect_set("i").alias("__gone"))
+    gone = judged(docs).where("removed").select("d", "x", "i").union(short_repeats(docs)).groupBy("d", "x").agg(F.collect_set("i").alias("__gone"))
     names = docs.columns
     out = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__x": F.xxhash64(F.coalesce("text", F.lit("")))})
     gone = gone.toDF("__d", "__x", "__gone")
