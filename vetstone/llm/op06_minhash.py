@@ -9,15 +9,15 @@ equal to the probability Jaccard similarity of their weights, here the Jaccard s
 banded; what meets in a band is verified by the exact Jaccard similarity of the shingle sets, 0.8 or more.
 
 A distinct text is a node, whatever ids its rows have; equal texts are one before any banding. A bucket isn't joined
-with itself at once: its nodes first try one head, the bucket's most met node, then STARS random nodes of the bucket's
-largest component, so that a large group of near copies costs some pairs for each of its members. What is then still in
-different components is compared in full in buckets of up to FULL nodes, so that no link that a band offers is lost. In
-larger buckets, where many copies of one text may be near it but not each other, nodes are joined by what sets them
-apart from the head (see `differences`), which loses no link either and meets only where such parts are shared.
+with itself at once: its nodes first try one head, the bucket's most met node, so that a large group of near copies
+costs a pair for each of its members. What is then still in different components is compared in full in buckets where
+a node meets few others (FULL). In larger ones, where many copies of one text may be near it but not each other, nodes
+are told apart by what they gained and lost against a hub (see `differences`), rarest shingles first: that makes finer
+buckets of the same kind, which are treated in the same way, and no link that a band offers is lost.
 
 Returns one row per row of the input: doc_id, class_id (the least doc_id of its class). Texts without words are classes
 of their own. Rows that share a doc_id are told apart by their text. A null id stays null and counts as the smallest.
-Extra columns are ignored. An empty table gives an empty result.
+Very long texts are taken whole, one at a time. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vetstone.llm.common import NULL_ID, Prefix, cut, id_back, longs, mix, pieces, string_buffers, table
@@ -37,11 +37,10 @@ from vetstone.llm.op09_substring_dedup import words_of
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-STARS = 3
-#: Nodes of a bucket up to which what its heads leave apart is compared pair by pair.
-FULL = 16
-#: Width of a class of slack, as a share of the head's shingles; its reciprocal bounds the rows a difference makes.
-STEP = 0.08
+#: Others that a node meets in a bucket up to which they are compared pair by pair: in bands, and after a split.
+FULL, SPLIT = 4, 32
+#: Times that large buckets are split by differences; what is large even then is compared pair by pair, too.
+LEVELS = 3
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -114,21 +113,26 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int =
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(n, shingles): each document's distinct shingles as sorted 32-bit integers."""
+    """(n, shingles): each document's distinct shingles as sorted 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = string_buffers(b.column(b.schema.get_field_index("text")))
             for i, j in pieces(offsets):
-                doc, g = shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                both = np.unique((doc.astype(np.uint64) << np.uint64(32)) | (g >> np.uint64(32)))
-                at = np.searchsorted(both, np.arange(j - i + 1).astype(np.uint64) << np.uint64(32))
-                data = both.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([data[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["n", "shingles"])
+                doc, g, _ = weighted(*shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words))
+                at = np.searchsorted(doc, np.arange(j - i + 1))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([g[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["n", "shingles"])
 
     return docs.mapInArrow(run, "n long, shingles binary")
 
 
+def similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets' Jaccard similarity is at least the threshold."""
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= threshold * (len(both) - common) - 1e-9
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose sets' Jaccard similarity is at least the threshold."""
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
@@ -137,83 +141,91 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
         for b in batches:
             keep = []
             for x, y in zip(b.column(b.schema.get_field_index("x")), b.column(b.schema.get_field_index("y")), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common >= threshold * (len(both) - common) - 1e-9)
+                keep.append(similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), threshold))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).filter(keep) for c in "ab"], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def differences(rows: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(k, side, n, c) for rows (n, p, c, home): shingles in which node n of component c differs from its head p.
+def differences(beside: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Finer buckets for nodes n beside hubs p, and links (a, b) between the two. beside: (n, p); nodes: (n, c, z, hub).
 
-    With r = (1 - threshold) / (1 + threshold), x and y are similar if they differ in at most r (|x| + |y|) shingles. Let
-    D(x) be the difference of x and p and slack(x) = |D(x)| - r |x|; then D(x) and D(y) share at least
-    (slack(x) + slack(y)) / 2 shingles, which is more than none unless both are linked to p. So some of the first
-    |D(x)| - (slack(x) + slack(y)) / 2 + 1 of D(x) and of D(y), in one order, are shared. That order has the shingles
-    that p lacks first, for they are rarer. The other's slack is known by its class only: a node emits its first
-    shingles for every class in which a partner can be. Nodes of p's own component (home) only seek others, and these
-    have more than r |p| of slack. k hashes p, both classes and the shingle; side tells which class is the node's: 0 for
-    the lower, 1 for the higher, 2 where they are the same.
+    Buckets are rows (b, n, c, z, hub, p, asks, answers); of two nodes of a bucket one must ask and the other answer.
+    With q = threshold / (1 + threshold), x and y are similar if they share q (|x| + |y|) shingles. A(x) is what x
+    gained against p, B(x) what it lost. Of similar x and y that aren't both similar to p (x isn't, say),
+    either A(x) and A(y) share something, and then at least |A(x)| - (1 - threshold) |x|, and likewise for y;
+    or they share nothing there, all that x and y have in common is in p, and B(x) and B(y) share more than
+    (1 - q) |B(y)| + q |A(y)|, and at least |B(x)| + q |x| - (1 - q) |y|, where |y| is at most |p|, |x| / threshold,
+    and |x and p| / q - |x|.
+    Of sets that share k elements the first |set| - k + 1 in any common order meet. The order is the rarest first, so
+    that the shingles nobody else has, which need no row, leave little room for the common ones.
     """
-    r = (1 - threshold) / (1 + threshold)
-    both = rows.join(sets.toDF("n", "x"), "n").join(sets.toDF("p", "y"), "p").select("n", "p", "c", "home", "x", "y")
-
-    def kind(slack: float, size: int) -> int:
-        u = slack / size
-        return math.floor((u if u <= 1 else 1 + math.log(u)) / STEP)
-
-    def least(k: int, size: int) -> float:
-        v = k * STEP
-        return size * (v if v <= 1 else math.exp(v - 1))
+    q = threshold / (1 + threshold)
+    both = beside.join(sets.toDF("n", "x"), "n").join(sets.toDF("p", "y"), "p").select("n", "p", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: list[tuple] = []
         parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            p, lo, hi, side, n, c = np.repeat(np.array(heads, np.int64), [len(x) for x in parts], axis=0).T
-            k = mix(p.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-            for x in (lo.astype(np.uint64), hi.astype(np.uint64), np.concatenate(parts).astype(np.uint64)):
-                k = mix(k * np.uint64(31) + x)
+            cols = np.repeat(np.array(heads, np.int64), [len(x) for x in parts], axis=0).T
+            names = ["n", "p", "kind", "total", "ask", "reply"]
+            out = pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in cols), pa.array(np.concatenate(parts).view(np.int64))], [*names, "s"])
             heads.clear()
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(side.astype(np.int8)), pa.array(n), pa.array(c)], ["k", "side", "n", "c"])
+            return out
 
         waiting = 0
         for b in batches:
-            for n, p, c, home, x, y in zip(*(b.column(b.schema.get_field_index(k)) for k in ("n", "p", "c", "home", "x", "y")), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                apart = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
-                d, z, size = len(apart), len(x), len(y)
-                slack, reach = d - r * z, r * z * (1 + 1 / threshold)
-                own, low, high = kind(slack, size), d - reach - r * z / threshold, d + reach - r * z * threshold
-                for other in range(kind(max(low, r * size) if home.as_py() else low, size), kind(high, size) + 1):
-                    first = d - max(1, math.ceil((slack + least(other, size)) / 2 - 1e-6)) + 1
-                    if first > 0:
-                        heads.append((p.as_py(), min(own, other), max(own, other), 2 if own == other else int(own > other), n.as_py(), c.as_py()))
-                        parts.append(apart[:first])
-                        waiting += first
-                if waiting > 1 << 18:
-                    yield flush()
-                    waiting = 0
+            for n, p, x, y in zip(*(b.column(b.schema.get_field_index(k)) for k in ("n", "p", "x", "y")), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                gained, lost = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                near = len(x) - len(gained) >= threshold * (len(x) + len(lost)) - 1e-9
+                some = math.floor((1 - threshold) * len(x) + 1e-6) + 1
+                room = (len(x) - len(gained)) / q - len(x)  # shingles of a similar set that has nothing of `gained`
+                reply = math.ceil(q * (len(lost) - len(gained)) + 1e-6)
+                ask = 0 if near else math.floor((1 - q) * min(len(y), len(x) / threshold, room) - q * len(x) + 1e-6) + 1
+                if room < threshold * len(x) - 1e-6:
+                    ask = reply = 0
+                for kind, part, asks, replies in ((0, gained, 0 if near else some, some), (1, lost, ask, reply), (2, x[:1] if near else x[:0], 0, 1)):
+                    if len(part) and max(asks, replies) > 0:
+                        heads.append((n.as_py(), p.as_py(), kind, len(part), min(asks, len(part)), min(replies, len(part))))
+                        parts.append(part)
+                        waiting += len(part)
+            if waiting > 1 << 17:
+                yield flush()
+                waiting = 0
         if parts:
             yield flush()
 
-    return both.mapInArrow(run, "k long, side byte, n long, c long")
+    made = cut(both.mapInArrow(run, "n long, p long, kind long, total long, ask long, reply long, s long"))
+    links = made.where("kind = 2").select(F.col("n").alias("a"), F.col("p").alias("b"))
+    made = made.where("kind < 2")
+    often = made.groupBy("p", "kind", "s").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = made.join(often, ["p", "kind", "s"])
+    one = Window.partitionBy("n", "p", "kind")
+    place = F.row_number().over(one.orderBy("often", "s")) + F.col("total") - F.count(F.lit(1)).over(one)
+    rows = shared.withColumn("place", place).select("n", "p", F.xxhash64("p", "kind", "s").alias("b"), (F.col("place") <= F.col("ask")).alias("asks"), (F.col("place") <= F.col("reply")).alias("answers"))
+    rows = rows.where("asks or answers").join(nodes, "n").select("b", "n", "c", "z", "hub", "p", "asks", "answers")
+    return rows, links
 
 
-def _apart(met: DataFrame, found: DataFrame) -> DataFrame:
-    """(b, n, z, size, c): the nodes of buckets that hold more than one component."""
-    part = met.join(found, "n", "left").select("b", "n", "z", "size", F.coalesce("c", "n").alias("c"))
-    split = part.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
-    return part.join(split, "b", "left_semi")
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows of buckets in which nodes of more than one component ask and answer, with the number that each meets there on average."""
+    split = rows.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.count_if("asks").alias("asking"), F.count_if("answers").alias("answering"))
+    split = split.where("lo <> hi and asking > 0 and answering > 0")
+    return rows.join(split.select("b", (F.col("asking") * F.col("answering") / F.col("size")).alias("load")), "b")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
+def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of one bucket and different components that one asks and the other answers, if their sizes allow a link."""
+    one, two = rows.where("asks").select("b", *(F.col(x).alias(f"{x}1") for x in ("n", "c", "z", "answers"))), rows.where("answers").select("b", *(F.col(x).alias(f"{x}2") for x in ("n", "c", "z", "asks")))
+    met = one.join(two, "b").where("c1 <> c2 and (n1 < n2 or not (answers1 and asks2))").where(F.least("z1", "z2") >= threshold * F.greatest("z1", "z2"))
+    return met.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, full: int = FULL, split: int = SPLIT) -> DataFrame:
     """One row per row of docs: d, e (the text's MD5), c (the class, null for a text without words), least (its least d)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.unhex(F.md5(text)).alias("e"), text.alias("text"))
@@ -222,47 +234,45 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     texts = sketch.groupBy("e").agg(F.min("d").alias("d"), *(F.first(c).alias(c) for c in ("bands", "z"))).where(F.size("bands") > 0)
     texts = cut(texts.withColumn("n", F.monotonically_increasing_id()))
     met = texts.select("n", "z", F.explode("bands").alias("b"))
-    buckets = met.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = cut(met.join(buckets, "b"))
-    nodes = texts.select("n", "d", "e").join(met.select("n").distinct(), "n", "left_semi")
-    sets = ids.join(nodes, ["d", "e"]).select("n", "text")
-    sets = cut(shingle_sets(sets, words).dropDuplicates(["n"]))
-
-    def pairs(rows: DataFrame, heads: DataFrame) -> DataFrame:
-        """Each node with its bucket's head, if they are apart and their sizes allow a link."""
-        near = F.least("z", "hz") >= threshold * F.greatest("z", "hz")
-        return rows.join(heads, "b").where((F.col("c") != F.col("hc")) & near).select(F.least("n", "head").alias("a"), F.greatest("n", "head").alias("b")).distinct()
-
-    popular = met.groupBy("n").agg(F.sum("size").alias("popular"))
-    heads = cut(met.join(popular, "n").groupBy("b").agg(F.max_by(F.struct("n", "z"), F.struct("popular", F.bitwise_not(F.col("n")))).alias("h"), F.max("size").alias("size")))
-    first = heads.where(F.col("size") > FULL).select("b", F.col("h.n").alias("p"))
-    tried = cut(pairs(met.withColumn("c", F.col("n")), heads.select("b", F.col("h.n").alias("head"), F.col("h.z").alias("hz"), F.col("h.n").alias("hc"))))
-    links = cut(verified(tried, sets, threshold))
-    found = components(links)
-    part = cut(_apart(met, found))
-    each = part.groupBy("b", "c").agg(F.count(F.lit(1)).alias("size"), *(F.max_by(F.struct("n", "z"), F.xxhash64("n", "b", F.lit(k))).alias(f"h{k}") for k in range(STARS)))
-    heads = each.groupBy("b").agg(F.max_by(F.struct("c", *(f"h{k}" for k in range(STARS))), F.struct("size", "c")).alias("top"))
-    heads = heads.select("b", F.col("top.c").alias("hc"), F.explode(F.array(*(f"top.h{k}" for k in range(STARS)))).alias("h")).select("b", "hc", F.col("h.n").alias("head"), F.col("h.z").alias("hz"))
-    more = cut(pairs(part, heads).join(tried, ["a", "b"], "left_anti"))
-    tried = tried.union(more)
-    links = links.union(cut(verified(more, sets, threshold)))
+    met = cut(met.join(met.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "b"))
+    popular = cut(met.groupBy("n", "z").agg(F.sum("size").alias("w")))
+    sets = ids.join(texts.select("n", "d", "e").join(popular, "n", "left_semi"), ["d", "e"]).dropDuplicates(["d", "e"])
+    sets = cut(shingle_sets(sets.select("n", "text"), words))
+    # every node tries the most met node of its buckets
+    met = met.select("b", "n").join(popular, "n")
+    heads = met.groupBy("b").agg(F.max_by(F.struct("n", "z", "w"), F.struct("w", F.bitwise_not(F.col("n")))).alias("h"))
+    tried = cut(met.join(heads, "b").where("n <> h.n").select("n", "z", "h").distinct())
+    fits = F.least("z", "h.z") >= threshold * F.greatest("z", "h.z")
+    found = components(verified(tried.where(fits).select(F.least("n", "h.n").alias("a"), F.greatest("n", "h.n").alias("b")).distinct(), sets, threshold))
+    # a component's hub is its most met node; a node alone has that of the most met node it met
+    hubs = found.join(popular, "n").groupBy("c").agg(F.max_by("n", F.struct("w", F.bitwise_not(F.col("n")))).alias("hub"))
+    found = found.join(hubs, "c").select("n", "c", "hub")
+    anchor = tried.groupBy("n").agg(F.max_by("h.n", F.struct("h.w", "h.n")).alias("anchor")).join(found.select(F.col("n").alias("anchor"), F.col("hub").alias("theirs")), "anchor", "left")
+    nodes = popular.join(found, "n", "left").join(anchor, "n", "left")
+    nodes = cut(nodes.select("n", F.coalesce("c", "n").alias("c"), "z", F.coalesce("hub", "theirs", "anchor", "n").alias("hub")))
+    links = found.where("n <> c").select(F.col("n").alias("a"), F.col("c").alias("b"))
+    yes, done = F.lit(True), None
+    part = met.select("b", "n").join(nodes, "n").select("b", "n", "c", "z", "hub", F.lit(None).cast("long").alias("p"), yes.alias("asks"), yes.alias("answers"))
+    for level in range(LEVELS + 1):
+        part = cut(_apart(part))
+        # the hub of a bucket is that of most of its nodes; if that has made the bucket, its smallest node, against which
+        # little is lost
+        tops = part.where(F.col("load") > (split if level else full)).groupBy("b", "hub").agg(F.count(F.lit(1)).alias("many"), F.first("p").alias("p"), F.min(F.struct("z", "n")).alias("small"))
+        tops = tops.groupBy("b").agg(F.max_by("hub", F.struct("many", "hub")).alias("hub"), F.first("p").alias("p"), F.min("small").alias("small"))
+        tops = cut(tops.select("b", F.when(F.col("hub").eqNullSafe(F.col("p")), F.col("small.n")).otherwise(F.col("hub")).alias("by")))
+        last = level == LEVELS or tops.isEmpty()
+        links = links.union(cut(verified(_pairs(part if last else part.join(tops, "b", "left_anti"), threshold), sets, threshold)))
+        if last:
+            break
+        beside = part.join(tops, "b").where("n <> by").select("n", F.col("by").alias("p")).distinct()
+        beside = cut(beside if done is None else beside.join(done, ["n", "p"], "left_anti"))
+        done = beside if done is None else done.union(beside)
+        part, more = differences(beside, nodes, sets, threshold)
+        links = links.union(more)
     found = components(links)
-    # what is left apart though a band offers it: pairs of different components in one bucket, each tried once
-    left = cut(_apart(met, found))
-    part = left.where(F.col("size") <= FULL).select("n", "b", "c", "z")
-    from_head = left.join(first, "b").select("n", "p", "c").distinct().join(found.toDF("p", "home"), "p", "left")
-    other = differences(from_head.select("n", "p", "c", (F.col("c") == F.coalesce("home", "p")).alias("home")), sets, threshold)
-    one, two = (other.select("k", *(F.col(c).alias(f"{c}{i}") for c in ("side", "n", "c"))) for i in (1, 2))
-    ordered = (F.col("side1") < F.col("side2")) | ((F.col("side1") == 2) & (F.col("n1") < F.col("n2")))
-    met_so = one.join(two, "k").where(ordered & (F.col("c1") != F.col("c2"))).select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"))
-    left, right = part.toDF("a", "k", "ca", "za"), part.toDF("o", "k", "co", "zo")
-    sizes = F.least("za", "zo") >= threshold * F.greatest("za", "zo")
-    rest = left.join(right, "k").where((F.col("a") < F.col("o")) & (F.col("ca") != F.col("co")) & sizes).select("a", F.col("o").alias("b")).union(met_so).distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(verified(rest, sets, threshold))
-    if not more.isEmpty():
-        found = components(links.union(more))
     label = cut(texts.select("e", "n", "d").join(found, "n", "left").select("e", "d", F.coalesce("c", "n").alias("c")))
-    label = label.select("e", "c").join(label.groupBy("c").agg(F.min("d").alias("least")), "c")
+    shared = cut(label.groupBy("c").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1").select("c", "least"))
+    label = label.join(shared, "c", "left").select("e", "c", F.coalesce("least", "d").alias("least"))
     return sketch.select("d", "e").join(label, "e", "left").select("d", "e", "c", F.coalesce("least", "d").alias("least"))
 
 
