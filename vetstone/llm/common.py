@@ -25,6 +25,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if configured:
             sc.setCheckpointDir(configured)
         else:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="vetstone-checkpoint-"))
@@ -58,6 +60,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(shared), "d", "left").select("d", F.when(F.col("shared") == 1, F.col("th")).otherwise(F.lit(0).cast("long")).alias("th"), "text")
 
 
+#: 64-bit words of a sieve: 4 MB of bits, which bounds what is broadcast.
+WORDS = 1 << 19
+
+
+def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose `key` (a 64-bit hash) is in wanted, and, of others, about a share of len(wanted) / (64 WORDS).
+
+    No row whose key is wanted is lost, however many are: only the share of others grows. To be followed by a join.
+    """
+    word, bit = F.pmod(F.col(key), F.lit(WORDS)), F.pmod(F.shiftright(F.col(key), 40), F.lit(64)).cast("int")
+    bits = wanted.groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__bits"))
+    here = rows.withColumn("__word", word).join(F.broadcast(bits), "__word")
+    return here.where(F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).drop("__word", "__bits")
+
+
 def id_back(d: str | Column = "d") -> Column:
     d = F.col(d) if isinstance(d, str) else d
     return F.when(d != F.lit(NULL_ID), d)
