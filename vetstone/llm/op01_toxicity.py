@@ -2,14 +2,16 @@
 
 The kernel of two strings sums, over their common subsequences of three symbols, LAMBDA to the power of the letters they
 span in either, up to SPAN letters, over the strings' norms: an insult with characters inserted keeps most of its
-subsequences, all a little lighter, and so its direction.
+subsequences, all a little lighter, and so its direction. A unit's norm is that of its occurrences: a subsequence that it
+has twice counts as two.
 Units are words; single characters in a row, as in a spaced-out word, are one unit, and long words are covered by
 overlapping stretches. Case is folded, look-alike digits and signs stand for their letters.
 
 Labels are of documents. Landmarks are learned first: fragments of words that set sentences of toxic documents apart
 from those of clean ones, chosen greedily until they cover the toxic sample, and frequent clean words. Sentences of
 toxic documents that hold such a fragment are labelled toxic, those of clean documents clean; spaced and gapped copies
-of the toxic ones join them. A linear machine (squared hinge, Newton steps) on the Nyström features of their units,
+of the toxic ones join them. What the machine sees of a sentence are its units, so that it learns words and what hides
+them, not phrases. A linear machine (squared hinge, Newton steps) on the Nyström features of their units,
 with hard clean units added in rounds, gives a decision per unit; a text has its highest, calibrated to 0..1 on the
 training documents.
 
@@ -17,16 +19,20 @@ Since features are linear in a unit's subsequences, machine, Nyström map and la
 64**3 subsequences, so that a whole corpus is scored in a pass over its bytes without any join.
 
 Fitted on at most SAMPLE labelled documents of either class whose crc32 of the id isn't divisible by 5. Null and empty
-texts score as a text without toxic units; without any toxic label every score is 0. Repeated rows and null ids are
-scored as they come. Extra columns are ignored. An empty table gives an empty result.
+texts score as a text without toxic units; without any toxic label every score is 0. Very long texts are scored whole,
+one at a time. Repeated rows and null ids are scored as they come. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import os
+import pickle
 import re
+import subprocess
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -336,6 +342,15 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> dict:
         use[int(np.argmin(np.where(wrong, w[:4], np.inf)))] = False
 
 
+def fit_apart(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> dict:
+    """fit() in a process of its own, whose memory goes with it: the driver keeps the model alone. Strings hash alike each time."""
+    code = "import pickle, sys; from vetstone.llm.op01_toxicity import fit; sys.stdout.buffer.write(pickle.dumps(fit(*pickle.load(sys.stdin.buffer))))"
+    home = str(Path(__file__).resolve().parents[2])
+    env = os.environ | {"PYTHONHASHSEED": "0", "PYTHONPATH": os.pathsep.join(x for x in (home, os.environ.get("PYTHONPATH")) if x)}
+    done = subprocess.run([sys.executable, "-c", code], input=pickle.dumps((rows, landmarks)), stdout=subprocess.PIPE, env=env, check=True)
+    return pickle.loads(done.stdout)
+
+
 def decisions(raw: np.ndarray, offsets: np.ndarray, model: dict) -> np.ndarray:
     """Per text: the highest decision among its units, LOW at least, and logarithms of how many are
     toxic, of the sum of their decisions, and of how many units there are."""
@@ -412,7 +427,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: i
         some = marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by `sample`
         drawn = some if drawn is None else drawn.union(some)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").dropDuplicates(["doc_id", "y"]).collect()
-    return fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.y))], landmarks)
+    return fit_apart([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.y))], landmarks)
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
