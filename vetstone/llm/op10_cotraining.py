@@ -2,36 +2,39 @@
 
 The content view is measured on the text: shares of kinds of bytes, repetition of words and lines, lengths of words and
 lines, and hashed kinds of word shapes. The metadata view never looks at the text's words: source, language, and the
-recorded length. Both views start from labelled documents; in each round a view labels the pool documents it is surest
-of, in the classes' proportions, for the other view to learn from. Each view is then calibrated on labelled documents
-that it never learned from, and the calibrated views are combined by a logistic regression, which scores all documents.
-
-Fitted on at most SAMPLE labelled documents of either class and a pool of at most POOL unlabelled ones, those with the
-least hashes of their ids; every document is scored. Documents whose crc32 of the id is divisible by 5 are held out.
-
-Null text is empty; null metadata is a value of its own; a missing metadata column counts as null. Without labels of
-both classes every score is 0.5. Repeated rows and null ids are scored as they come. Extra columns are ignored. An empty
-table gives an empty result.
+recorded length. Both views start from labelled documents. In each round both score all unlabelled documents, wherever
+these are; a view is sure of those beyond a quantile of its own scores over all of them (SURE of either class, in the
+classes' proportions), and labels them for the other view, which is fitted on a hash sample of TEACH a round out of them
+and on the labelled rows. Each view is then calibrated on labelled documents that it never learned from, and the
+calibrated views are combined by a logistic regression, which scores all documents.
+
+Fitted on at most SAMPLE labelled documents of either class, those with the least hashes of their ids. The numbers of
+both views of the unlabelled documents are written once to the checkpoint folder and read in each round. Documents whose
+crc32 of the id is divisible by 5 are held out: they neither teach nor are taught.
+
+Null text is empty; null metadata is a value of its own; a missing metadata column counts as null. Very long texts are
+measured whole, one at a time. Without labels of both classes every score is 0.5. Repeated rows and null ids are scored
+as they come. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetstone.llm.common import Prefix, pieces, string_buffers, table
+from vetstone.llm.common import Prefix, cut, pieces, string_buffers, table
 from vetstone.llm.op01_toxicity import is_held_out
 from vetstone.llm.op09_substring_dedup import words_of
 
-SAMPLE, POOL = 2000, 4000
-ROUNDS = 5
-#: Documents that a view labels for the other in a round.
-TEACH = 200
+SAMPLE = 2000
+ROUNDS = 3
+#: Share of all unlabelled documents that a view is sure of in a round, and of these how many the other is fitted on.
+SURE, TEACH = 0.1, 400
 HASHED = 64
 
 
@@ -130,33 +133,27 @@ def logit(model: tuple, x: np.ndarray) -> np.ndarray:
     return np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1]
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, teach: int = TEACH) -> dict:
-    """Fits both views on rows with labels y and an unlabelled pool, then calibrates and combines them on rows set aside."""
+def cotrain(views: list[np.ndarray], y: np.ndarray, teach: Callable[[list[tuple], float, int], list[tuple]], rounds: int = ROUNDS) -> dict:
+    """Fits both views on rows with labels y, then calibrates and combines them on rows set aside.
+
+    teach(models, share, round) gives for each view the rows (numbers, labels) that the other one taught it.
+    """
     aside = np.arange(len(y)) % 4 == 0
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside = np.zeros(len(y), bool)
     xs = [[v[~aside]] for v in views]
     ys = [[y[~aside].astype(float)] for _ in views]
-    free = [np.ones(len(pool[0]), bool) for _ in views]  # what a view hasn't been taught yet
     share = max(0.02, min(0.98, y[~aside].mean()))
     taught = [0, 0]
-    models = [learn(np.concatenate(x), np.concatenate(t)) for x, t in zip(xs, ys, strict=True)]
-    for _ in range(rounds):
-        fresh = []
-        for k in (0, 1):
-            other = 1 - k
-            f = np.where(free[other], logit(models[k], pool[k]), 0)
-            top = np.argsort(-f)[: round(teach * share)]
-            low = np.argsort(f)[: teach - round(teach * share)]
-            fresh.append((other, top[f[top] > 1.0], low[f[low] < -1.0]))  # confident ones only
-        for other, top, low in fresh:
-            ids = np.concatenate([top, low]).astype(int)
-            if len(ids):
-                xs[other].append(pool[other][ids])
-                ys[other].append(np.concatenate([np.ones(len(top)), np.zeros(len(low))]))
-                free[other][ids] = False
-                taught[other] += len(ids)
-        if not any(len(t) + len(b) for _, t, b in fresh):
+    models = [learn(x[0], t[0]) for x, t in zip(xs, ys, strict=True)]
+    for k in range(rounds):
+        fresh = teach(models, share, k)
+        for view, (x, t) in enumerate(fresh):
+            if len(t):
+                xs[view].append(x)
+                ys[view].append(t)
+                taught[view] += len(t)
+        if not any(len(t) for _, t in fresh):
             break
         models = [learn(np.concatenate(x), np.concatenate(t)) for x, t in zip(xs, ys, strict=True)]
     held = aside if aside.any() else np.ones(len(y), bool)
@@ -188,30 +185,64 @@ def views_of(b: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and both views' numbers: what is drawn to the driver is these, not texts."""
+    """doc_id, y and both views' numbers: what rounds read, and the driver draws, is these, not texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, m = views_of(b)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(v, np.float32).ravel()), v.shape[1]).cast(pa.list_(pa.float32())) for v in (a, m))], ["doc_id", "y", "content", "meta"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x.tobytes() for x in np.clip(v, -60_000, 60_000).astype(np.float16)], pa.binary()) for v in views_of(b))], ["doc_id", "y", "content", "meta"])
+
+    return docs.mapInArrow(run, "doc_id long, y int, content binary, meta binary")
+
+
+def numbers(col) -> np.ndarray:
+    """A view's rows from their bytes."""
+    col = list(col)
+    return np.frombuffer(b"".join(col), np.float16).astype(float).reshape(len(col), -1) if col else np.zeros((0, 1))
 
-    return docs.mapInArrow(run, "doc_id long, y int, content array<float>, meta array<float>")
+
+def taught_by(free: DataFrame, models: list[tuple], share: float, turn: int, sure: float = SURE, teach: int = TEACH) -> list[tuple]:
+    """What each view learns from the other in a round: all unlabelled documents are scored by both; see the module's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = [logit(m, numbers(b.column(b.schema.get_field_index(x)).to_pylist())) if b.num_rows else np.empty(0) for m, x in zip(models, ("content", "meta"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), *map(pa.array, f)], ["doc_id", "f0", "f1"])
+
+    scores = free.mapInArrow(run, "doc_id long, f0 double, f1 double")
+    ends = [sure * (1 - share), 1 - sure * share]
+    low_high = scores.agg(*(F.percentile_approx(f"f{k}", F.array(*map(F.lit, ends)), 10_000).alias(f"q{k}") for k in (0, 1))).first()
+    out = []
+    for view in (0, 1):
+        other = 1 - view
+        if low_high[other] is None:
+            return [(None, np.empty(0)), (None, np.empty(0))]
+        low, high = low_high[other]
+        f, order = F.col(f"f{other}"), F.xxhash64("doc_id", F.lit(turn), F.lit(view))
+        rows = []
+        for y, hit, n in ((1.0, (f >= high) & (f > 1.0), round(teach * share)), (0.0, (f <= low) & (f < -1.0), teach - round(teach * share))):
+            drawn = scores.where(hit).select("doc_id", F.lit(y).alias("t")).distinct().orderBy(order, "doc_id").limit(n)  # bounded by `teach`
+            rows.append(drawn)
+        name = ("content", "meta")[view]
+        got = free.join(F.broadcast(rows[0].union(rows[1])), "doc_id").select("doc_id", "t", name).dropDuplicates(["doc_id"]).collect()
+        got.sort(key=lambda r: r.doc_id)
+        out.append((numbers(r[name] for r in got), np.array([r.t for r in got])))
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> dict | None:
-    """Fits on bounded samples: see the module's text."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> dict | None:
+    """Fits on bounded samples of rows, taught by all unlabelled ones: see the module's text."""
     marks = labels.where(~is_held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select("doc_id", (F.col("quality") > 0).cast("int").alias("y"))
     drawn = [marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~is_held_out(F.col("doc_id")))
-    free = ids.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).select("doc_id", F.lit(-1).alias("y"))
-    chosen = F.broadcast(drawn[0].union(drawn[1]).union(free).dropDuplicates(["doc_id"]))  # at most 2 * sample + pool rows
-    rows = featured(_columns(docs).join(chosen, "doc_id").select("doc_id", "y", "text", "lang", "source", "n_chars")).dropDuplicates(["doc_id"]).collect()
+    chosen = F.broadcast(drawn[0].union(drawn[1]).dropDuplicates(["doc_id"]))  # at most 2 * sample rows
+    columns = _columns(docs)
+    rows = featured(columns.join(chosen, "doc_id").select("doc_id", "y", "text", "lang", "source", "n_chars")).dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     y = np.array([r.y for r in rows], int)
     if not (y == 0).any() or not (y == 1).any():
         return None
-    both = [np.array([r[k] for r in rows], float) for k in ("content", "meta")]
-    return cotrain([v[y >= 0] for v in both], y[y >= 0], [v[y < 0] for v in both])
+    free = columns.where(~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(-1).alias("y"), "text", "lang", "source", "n_chars")
+    free = cut(featured(free).join(labels.select("doc_id").distinct(), "doc_id", "left_anti"))
+    return cotrain([numbers(r[k] for r in rows) for k in ("content", "meta")], y, lambda models, share, turn: taught_by(free, models, share, turn), rounds)
 
 
 def scored(docs: DataFrame, model: dict | None) -> DataFrame:
