@@ -90,3 +90,23 @@ def test_line_dedup_takes_out_short_repeats(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(map(str, ((r.doc_id, r.text) for r in o.without_repeats(docs).collect())))
     assert got == sorted(map(str, [(3, "\nmore\nAnd ornd."), (1, "Les.\n\none"), (1, "Les.\n\none"), (None, "Lez.\n \nx"), (4, "x "), (5, None)]))
+
+
+def test_components_with_crowds(spark, monkeypatch):
+    from vetstone.llm import graph
+
+    rng = random.Random(2)
+    edges = [(0, k) for k in range(1, 300)] + [(500, k) for k in range(400, 700)] + [(1000 + k, 1001 + k) for k in range(40)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(len(edges)):
+        before = dict(label)
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    frame = spark.createDataFrame(edges, "a long, b long")
+    for crowd in (100_000, 20):
+        monkeypatch.setattr(graph, "CROWD", crowd)
+        assert {r.n: r.c for r in graph.components(frame).collect()} == label
+    assert graph.components(frame.limit(0)).count() == 0

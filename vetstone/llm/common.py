@@ -38,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no frame needs any more: Spark deletes them only once the driver has collected its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Ids with several texts up to which they are broadcast.
 SHARED = 100_000
 

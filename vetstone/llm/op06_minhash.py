@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vetstone.llm.common import NULL_ID, Prefix, cut, id_back, longs, mix, pieces, string_buffers, table
+from vetstone.llm.common import NULL_ID, Prefix, cut, free, id_back, longs, mix, pieces, string_buffers, table
 from vetstone.llm.graph import components
 from vetstone.llm.op09_substring_dedup import words_of
 
@@ -133,9 +133,21 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
     return common >= threshold * (len(both) - common) - 1e-9
 
 
+#: Rows of two node ids up to which they are broadcast to the sets, instead of all sets being shuffled to them.
+SMALL = 200_000
+
+
+def with_sets(rows: DataFrame, sets: DataFrame, one: str, two: str) -> DataFrame:
+    """rows (two columns of nodes, checkpointed) with the sets x and y of both."""
+    x, y = sets.toDF(one, "x"), sets.toDF(two, "y")
+    if rows.count() > SMALL:
+        return rows.join(x, one).join(y, two).select(one, two, "x", "y")
+    return x.join(F.broadcast(rows), one).join(y.join(F.broadcast(rows.select(two).distinct()), two, "left_semi"), two).select(one, two, "x", "y")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose sets' Jaccard similarity is at least the threshold."""
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    """The pairs (a, b; checkpointed) whose sets' Jaccard similarity is at least the threshold."""
+    both = with_sets(pairs, sets, "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +174,7 @@ def differences(beside: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
     that the shingles nobody else has, which need no row, leave little room for the common ones.
     """
     q = threshold / (1 + threshold)
-    both = beside.join(sets.toDF("n", "x"), "n").join(sets.toDF("p", "y"), "p").select("n", "p", "x", "y")
+    both = with_sets(beside, sets, "n", "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: list[tuple] = []
@@ -238,12 +250,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     popular = cut(met.groupBy("n", "z").agg(F.sum("size").alias("w")))
     sets = ids.join(texts.select("n", "d", "e").join(popular, "n", "left_semi"), ["d", "e"]).dropDuplicates(["d", "e"])
     sets = cut(shingle_sets(sets.select("n", "text"), words))
+    free(docs.sparkSession)
     # every node tries the most met node of its buckets
     met = met.select("b", "n").join(popular, "n")
     heads = met.groupBy("b").agg(F.max_by(F.struct("n", "z", "w"), F.struct("w", F.bitwise_not(F.col("n")))).alias("h"))
     tried = cut(met.join(heads, "b").where("n <> h.n").select("n", "z", "h").distinct())
     fits = F.least("z", "h.z") >= threshold * F.greatest("z", "h.z")
-    found = components(verified(tried.where(fits).select(F.least("n", "h.n").alias("a"), F.greatest("n", "h.n").alias("b")).distinct(), sets, threshold))
+    found = components(verified(cut(tried.where(fits).select(F.least("n", "h.n").alias("a"), F.greatest("n", "h.n").alias("b")).distinct()), sets, threshold))
+    free(docs.sparkSession)
     # a component's hub is its most met node; a node alone has that of the most met node it met
     hubs = found.join(popular, "n").groupBy("c").agg(F.max_by("n", F.struct("w", F.bitwise_not(F.col("n")))).alias("hub"))
     found = found.join(hubs, "c").select("n", "c", "hub")
@@ -255,13 +269,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     part = met.select("b", "n").join(nodes, "n").select("b", "n", "c", "z", "hub", F.lit(None).cast("long").alias("p"), yes.alias("asks"), yes.alias("answers"))
     for level in range(LEVELS + 1):
         part = cut(_apart(part))
+        if part.isEmpty():
+            break
         # the hub of a bucket is that of most of its nodes; if that has made the bucket, its smallest node, against which
         # little is lost
         tops = part.where(F.col("load") > (split if level else full)).groupBy("b", "hub").agg(F.count(F.lit(1)).alias("many"), F.first("p").alias("p"), F.min(F.struct("z", "n")).alias("small"))
         tops = tops.groupBy("b").agg(F.max_by("hub", F.struct("many", "hub")).alias("hub"), F.first("p").alias("p"), F.min("small").alias("small"))
         tops = cut(tops.select("b", F.when(F.col("hub").eqNullSafe(F.col("p")), F.col("small.n")).otherwise(F.col("hub")).alias("by")))
         last = level == LEVELS or tops.isEmpty()
-        links = links.union(cut(verified(_pairs(part if last else part.join(tops, "b", "left_anti"), threshold), sets, threshold)))
+        pairs = cut(_pairs(part if last else part.join(tops, "b", "left_anti"), threshold))
+        if not pairs.isEmpty():
+            links = links.union(cut(verified(pairs, sets, threshold)))
         if last:
             break
         beside = part.join(tops, "b").where("n <> by").select("n", F.col("by").alias("p")).distinct()
@@ -269,6 +287,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         done = beside if done is None else done.union(beside)
         part, more = differences(beside, nodes, sets, threshold)
         links = links.union(more)
+        free(docs.sparkSession)
     found = components(links)
     label = cut(texts.select("e", "n", "d").join(found, "n", "left").select("e", "d", F.coalesce("c", "n").alias("c")))
     shared = cut(label.groupBy("c").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1").select("c", "least"))
