@@ -89,3 +89,17 @@ def test_lockfiles(name):
     assert reason is None and [(x[2], x[3], x[4]) for x in got] == want
     if name not in ("requirements.txt", "yarn.lock", "go.sum", "Gemfile.lock", "gradle.lockfile", "pom.xml", "go.mod", "Gemfile"):
         assert lockfiles.parse(name, "{[")[1]
+
+
+def test_blake3_of_many_rows():
+    from vetstone.functions.hashing import blake3, blake3_many, structural_hash
+
+    rows = [(bytes(range(251)) * 13)[:n] for n in (0, 1, 63, 64, 65, 128, 200, 1023, 1024, 1025, 3000, 5)]
+    assert blake3_many(rows) == [blake3(r) for r in rows] and blake3_many([]) == []
+    assert structural_hash([("call", "f")]) != structural_hash([("callf", "")]) and len(structural_hash([])) == 27
+
+
+def test_pnpm_keys():
+    from vetstone.sources.lockfiles import pnpm_key
+
+    assert [pnpm_key(k) for k in ("string_decoder@1.1.1", "/string_decoder@1.3.0", "/@s/a@1.0.0(p@2)", "@s/a@1.0.0_p@2", "/@babel/core/7.1.0_x@1", "/foo/1.0.0", "x")] == [("string_decoder", "1.1.1"), ("string_decoder", "1.3.0"), ("@s/a", "1.0.0"), ("@s/a", "1.0.0"), ("@babel/core", "7.1.0"), ("foo", "1.0.0"), None]

@@ -36,11 +36,13 @@ def masked(value: Column) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    """Bearer tokens, cloud access keys and key assignments made unreadable."""
+    """Bearer tokens, cloud access keys and what is assigned to a name that ends like a secret's made unreadable; the
+    words before stay. The names' beginnings needn't be matched to stay."""
     gone = "***REDACTED***"
-    text = F.regexp_replace(text, "(?i)(bearer\\s+)[A-Za-z0-9._~+/=-]+", f"$1{gone}")
-    text = F.regexp_replace(text, "AKIA[0-9A-Z]{16}", gone)
-    return F.regexp_replace(text, "(?i)((?:password|passwd|secret|token|api[_-]?key)\\s*[:=]\\s*[\"']?)[^\\s\"'&]+", f"$1{gone}")
+    # Which words make a secret, and what ends its value.
+    text = F.regexp_replace(text, "(?iU)(bearer\\s+)[A-Za-z0-9._\\-]+", f"$1{gone}")
+    text = F.regexp_replace(text, "(?U)\\b(AKIA)[0-9A-Z]{16}\\b", f"$1{gone}")
+    return F.regexp_replace(text, "(?iU)((?:key|secret|token|password|passwd|authorization)\\s*[:=]\\s*)\"?[^\"\\s]+\"?", f"$1{gone}")
 
 
 def capped(text: Column, most: int) -> Column:

@@ -49,7 +49,7 @@ def _num(s: str) -> int:
 
 def semver(v: str) -> list[tuple]:
     m = re.fullmatch(r"v?(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?", v)
-    if not m:
+    if not m or any(int(x) > _MAX for x in m.groups()[:3]):
         raise ValueError(v)
     key = [(0, _num(x), "") for x in m.groups()[:3]]
     if not m[4]:

@@ -43,6 +43,10 @@ def judged(scheme: pd.Series, version: pd.Series, listed: pd.Series, ranges: pd.
     return pd.DataFrame({"hit": hits, "fix": fixes})
 
 
+#: Opaque to the optimizer, which would otherwise run it in the filter and again in the projection.
+judged = judged.asNondeterministic()
+
+
 def affected(osv: DataFrame) -> DataFrame:
     """One row for each affected entry of each advisory: the build side of the join."""
     rows = osv.select("id", "summary", "aliases", F.col("database_specific.severity").alias("label"), F.col("database_specific.cwe_ids").alias("cwe"), F.explode("affected").alias("a"))
@@ -90,3 +94,24 @@ def inventory(packages: DataFrame) -> DataFrame:
     p = purl(F.col("purl_type"), F.col("name"), F.col("version"))
     row = F.struct(*packages.columns)
     return packages.withColumn("purl", p).groupBy("purl").agg(F.max_by(row, F.struct("path", "ordinal")).alias("r")).select("purl", "r.*").orderBy("purl")
+
+
+def raw(matches: DataFrame, engine: str = "sca") -> DataFrame:
+    """match()'s rows (with purl_type and path) in the common shape of observations."""
+    p = purl(F.col("purl_type"), F.col("name"), F.col("version"))
+    names = F.to_json(F.struct(F.filter(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("id")), lambda a: a.startswith("CVE-")).alias("cve_aliases")))
+    fix = F.struct(F.col("fixed_version").isNotNull().alias("fix_available"), F.col("fixed_version").alias("fixed_version"), F.when(F.col("fixed_version").isNotNull(), F.concat(F.lit("Upgrade to "), "fixed_version", F.lit(" or later"))).alias("summary"))
+    return matches.select(
+        F.lit(engine).alias("engine_id"), F.col("advisory").alias("rule_id"),
+        F.struct(F.lit("vulnerable_dependency").alias("finding_class"), p.alias("f1"), F.col("advisory").alias("f2"), F.col("path").alias("f3")).alias("identity"),
+        F.concat_ws(" ", "name", "version", F.lit("is affected by"), "advisory").alias("title"), F.col("summary").alias("description"), "severity", F.lit("corroborated").alias("confidence"),
+        F.struct(F.lit("repository").alias("kind"), F.col("path").alias("identifier")).alias("asset"), F.struct(F.col("path").alias("path"), F.lit(None).cast("long").alias("line")).alias("location"),
+        F.array(F.struct(F.lit("advisory_match").alias("kind"), F.concat_ws(" ", p, "id").alias("summary"), names.alias("detail"), F.array().cast("array<string>").alias("dependency_path"))).alias("evidence"),
+        fix.alias("remediation"), F.coalesce("cwe", F.array().cast("array<string>")).alias("cwe"),
+    )
+
+
+def os_packages(packages: DataFrame, distro: Column, version_id: Column) -> DataFrame:
+    """Packages of an image (name, version) as match() takes them: their ecosystem, and the type that their purl begins with."""
+    kind = F.when(distro.isin("debian", "ubuntu"), "deb").when(distro == "alpine", "apk").otherwise("rpm")
+    return packages.select("*", distro_ecosystem(distro, version_id).alias("ecosystem"), F.concat(kind, F.lit("/"), distro).alias("purl_type"))

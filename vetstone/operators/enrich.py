@@ -14,14 +14,25 @@ def _small(feed: DataFrame) -> DataFrame:
 
 
 def exploit(findings: DataFrame, key: str, aliases: Column, kev: DataFrame, epss: DataFrame) -> DataFrame:
-    """(key, in_kev, epss) of each row: any alias in the KEV feed (cve), the greatest EPSS of its aliases (cve, epss).
+    """(key, in_kev, epss, canonical) of each row: any alias in the KEV feed (cve), the greatest EPSS of its aliases
+    (cve, epss), the smallest CVE among them.
 
-    A feed's last row of a CVE holds. Rows of one key share their lookups.
+    Of an EPSS feed's rows of one CVE the last holds, by `ordinal` if it has one, else the greatest. Rows of one key
+    share their lookups.
     """
     each = findings.select(key, F.explode_outer(aliases).alias("cve")).distinct()
     listed = _small(kev.select("cve").distinct().withColumn("listed", F.lit(True)))
-    likely = _small(epss.groupBy("cve").agg(F.last("epss").alias("epss")))
-    return each.join(listed, "cve", "left").join(likely, "cve", "left").groupBy(key).agg(F.coalesce(F.bool_or("listed"), F.lit(False)).alias("in_kev"), F.max("epss").alias("epss"))
+    last = F.max_by("epss", "ordinal") if "ordinal" in epss.columns else F.max("epss")
+    likely = _small(epss.groupBy("cve").agg(last.alias("epss")))
+    met = each.join(listed, "cve", "left").join(likely, "cve", "left")
+    named = F.min(F.when(F.col("cve").startswith("CVE-"), F.col("cve")))
+    return met.groupBy(key).agg(F.coalesce(F.bool_or("listed"), F.lit(False)).alias("in_kev"), F.max("epss").alias("epss"), named.alias("canonical"))
+
+
+def cve_aliases(evidence: Column) -> Column:
+    """All CVEs that a merged finding's evidence names in its details."""
+    found = F.transform(evidence, lambda e: F.coalesce(F.from_json(e["detail"], "cve_aliases array<string>")["cve_aliases"], F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.flatten(found)))
 
 
 def canonical_id(aliases: Column, own: Column) -> Column:

@@ -109,3 +109,31 @@ def upsert(current: DataFrame, incoming: DataFrame, at: Column) -> tuple[DataFra
         )
     )
     return state, both.select("finding_id", at.alias("at"), F.explode(events).alias("e")).select("finding_id", "at", "e.*")
+
+
+def at_least(findings: DataFrame, severity: str) -> DataFrame:
+    """What is shown to people: findings of a severity or worse. Machine formats aren't filtered."""
+    return findings.where(S.rank(F.col("severity"), S.SEVERITY) >= S.SEVERITY.index(severity))
+
+
+def by_prefix(findings: DataFrame, prefix: str) -> DataFrame:
+    """The finding whose id begins so; none or several are an error."""
+    found = findings.where(F.col("finding_id").startswith(prefix))
+    n = found.limit(2).count()
+    if n != 1:
+        raise LookupError(f"no finding begins with {prefix!r}" if not n else f"{prefix!r} is ambiguous ({found.count()} findings); use more digits")
+    return found
+
+
+def put_suppressions(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored suppressions (finding_id, reason, expires) with new ones in the place of old ones of the same id."""
+    return current.join(incoming, "finding_id", "left_anti").unionByName(incoming)
+
+
+#: Which engines look at which layer.
+LAYERS = {"code": ("sast", "secrets"), "dependencies": ("sca",), "infrastructure": ("iac",), "image": ("sca",), "web": ("probe",)}
+
+
+def engines(layers: list[str], applicable: dict[str, bool]) -> list[str]:
+    """The engines that a scan of some layers runs: those that have one of them and something to look at."""
+    return [e for e in dict.fromkeys(x for names in LAYERS.values() for x in names) if applicable.get(e, False) and any(e in LAYERS[layer] for layer in layers)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,3 +71,9 @@ def age(spec: str) -> int:
     if not (m := re.fullmatch(r"(\d+)([dhms])", spec)):
         raise ValueError(f"no duration: {spec!r}")
     return int(m[1]) * {"d": 86400, "h": 3600, "m": 60, "s": 1}[m[2]]
+
+
+def staleness(as_of: str, now: str, most: str) -> int | None:
+    """Hours that a snapshot is old if that is more than `most` (7d, 12h), else None. Moments are RFC 3339."""
+    seconds = (datetime.fromisoformat(now) - datetime.fromisoformat(as_of)).total_seconds()
+    return int(seconds // 3600) if seconds > age(most) else None

@@ -11,17 +11,26 @@ PRUNED = (".git", "node_modules", "target", ".venv")
 MOST_BYTES = 8 * 1024 * 1024
 
 
-def tree(spark: SparkSession, root: str, exclude: list[str] | None = None, ignore: list[str] | None = None, most: int = MOST_BYTES) -> DataFrame:
+#: Files of a tree that are looked at, at most.
+MOST_FILES = 1_000_000
+
+
+def tree(spark: SparkSession, root: str, exclude: list[str] | None = None, ignore: list[str] | None = None, most: int = MOST_BYTES, files: int = MOST_FILES) -> DataFrame:
     """(path, name, text, length) of every readable file under a root: relative POSIX paths, pruned directories,
-    excludes, ignore rules, a size cap, and only valid UTF-8. Content is read after all that has been decided."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    excludes, ignore rules, a size cap, and only valid UTF-8. All but the last are decided on a listing; only the files
+    that are left are opened, `files` of them at most, which is an error beyond."""
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^.*?" + base.replace(".", "\\.") + "/+", "")
-    rows = files.where(F.col("length") <= most).select(rel.alias("path"), "content", "length")
-    rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, PRUNED))))
+    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^.*?" + base.replace(".", "\\.") + "/+", "").alias("path")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("at"), rel, "length")
+    rows = found.where(F.col("length") <= most).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, PRUNED))))
     rows = rows.where(~excluded(F.col("path"), exclude or [])).where(~ignored(F.col("path"), ignore or []))
-    rows = rows.where(F.is_valid_utf8("content"))
-    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "utf-8").alias("text"), "length")
+    kept = [r.at for r in rows.select("at").limit(files + 1).collect()]  # bounded by `files`
+    if len(kept) > files:
+        raise ValueError(f"over {files} files under {root}")
+    if not kept:
+        return spark.createDataFrame([], "path string, name string, text string, length long")
+    read = spark.read.format("binaryFile").load(kept).where(F.is_valid_utf8("content"))
+    return read.select(rel, "content", "length").select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "utf-8").alias("text"), "length")
 
 
 def history(blobs: DataFrame, most_bytes: int | None = None) -> DataFrame:

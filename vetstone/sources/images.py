@@ -121,3 +121,21 @@ def rpm_sqlite(data: bytes) -> list[tuple[str, str, str]]:
     db.deserialize(data)
     rows = {r for (b,) in db.execute("select blob from Packages") if (r := rpm_header(b))}
     return sorted(rows)
+
+
+# Where an image keeps its package database, in the order in which they count.
+DATABASES = (
+    ("dpkg", "var/lib/dpkg/status"),
+    ("apk", "lib/apk/db/installed"),
+    ("rpm", "var/lib/rpm/rpmdb.sqlite"),
+    ("rpm", "usr/lib/sysimage/rpm/rpmdb.sqlite"),
+    ("legacy_rpm", "var/lib/rpm/Packages"),
+)
+
+
+def os_database(files: DataFrame) -> DataFrame:
+    """(kind, path, content) of the one database that counts; kind legacy_rpm can't be read and makes a scan partial.
+    files: path, content."""
+    rank = F.coalesce(*(F.when(F.col("path") == p, F.lit(i)) for i, (_, p) in enumerate(DATABASES)))
+    kinds = F.array(*(F.lit(k) for k, _ in DATABASES))
+    return files.select(rank.alias("rank"), "path", "content").where("rank is not null").orderBy("rank").limit(1).select(F.get(kinds, F.col("rank")).alias("kind"), "path", "content")

@@ -112,15 +112,26 @@ def terraform(text: str, path: str) -> list[tuple]:
 def kubernetes(text: str, path: str) -> list[tuple]:
     import yaml
 
+    class Loader(yaml.SafeLoader):
+        """Values with tags of applications are unresolved; the rest of the file is read."""
+
+    Loader.add_multi_constructor("!", lambda loader, tag, node: UNRESOLVED)
     out = []
-    for doc in yaml.safe_load_all(text):
+    for doc in yaml.load_all(text, Loader):
         if isinstance(doc, dict) and "kind" in doc and "apiVersion" in doc:
             name = (doc.get("metadata") or {}).get("name") or "unnamed"
             out.append((str(doc["kind"]), str(name), f"{doc['kind']}/{name}", json.dumps(doc, default=lambda _: UNRESOLVED)))
     return out
 
 
-_SECRET = re.compile(r"(?i)(?:^|_)(?:password|passwd|secret|token|api_?key|access_?key|private_?key|credentials?)(?:$|_)")
+# What stands in the name of a variable that holds a secret.
+SECRET_NAMES = ("password", "passwd", "secret", "api_key", "apikey", "token", "access_key", "private_key")
+
+
+def _secret(name: str, value: str) -> bool:
+    """A secret's name with a literal value, not an empty one or a reference."""
+    value = value.strip().strip("\"'")
+    return any(x in name.lower() for x in SECRET_NAMES) and value != "" and not value.startswith("$")
 
 
 def dockerfile(text: str, path: str) -> list[tuple]:
@@ -150,7 +161,7 @@ def dockerfile(text: str, path: str) -> list[tuple]:
                 s["curl_pipe_shell"] |= bool(re.search(r"\b(?:curl|wget)\b[^|;&]*\|\s*(?:sudo\s+)?(?:ba|z|da)?sh\b", rest))
             elif op in ("ENV", "ARG"):
                 pairs = re.findall(r"([A-Za-z_]\w*)=(\"[^\"]*\"|\S+)", rest) or [tuple((rest.split(None, 1) + [""])[:2])]
-                s["secret_in_env"] |= any(_SECRET.search(k) and v.strip('"') and "$" not in v for k, v in pairs)
+                s["secret_in_env"] |= any(_secret(k, v) for k, v in pairs)
     out = []
     for i, s in enumerate(stages):
         user = s.pop("user")

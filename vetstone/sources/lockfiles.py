@@ -92,18 +92,23 @@ def yarn_lock(text):
     return out
 
 
+def pnpm_key(key: str) -> tuple[str, str] | None:
+    """Name and version of a key: name@version, /name@version(peer@1), or /name/version_peer@1 in old files."""
+    key = key.strip().lstrip("/").partition("(")[0]
+    old = re.fullmatch(r"(.+)/(\d[^/]*)", key)
+    new = re.fullmatch(r"(.+)@([^@]*)", key)
+    name, version = old.groups() if old else new.groups() if new else ("", "")
+    version = version.partition("_")[0]
+    if not old and new and "_" in key[1:].partition("@")[2]:  # a peer's @ comes after the version's
+        name, version = key[: (at := key.index("@", 1))], key[at + 1 :].partition("_")[0]
+    return (name, version) if name and version else None
+
+
 def pnpm_lock(text):
     import yaml
 
     doc = yaml.safe_load(text) or {}
-    out = []
-    for key in doc.get("packages") or doc.get("snapshots") or {}:
-        k = key.removeprefix("/").split("(")[0].split("_")[0] if not key.startswith("@") else key.split("(")[0]
-        at = k.rfind("@")
-        name, version = (k[:at], k[at + 1 :]) if at > 0 else k.rpartition("/")[::2]
-        if name:
-            out.append(_p("npm", name, version, False))
-    return out
+    return [_p("npm", *found, False) for key in doc.get("packages") or doc.get("snapshots") or {} if (found := pnpm_key(str(key)))]
 
 
 def go_sum(text):

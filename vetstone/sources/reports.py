@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vetstone import schema as S
+from vetstone.operators.render import WHOLE
+
+# Other tools' grades.
 SEVERITIES = {"CRITICAL": "critical", "HIGH": "high", "MEDIUM": "medium", "MODERATE": "medium", "LOW": "low", "ERROR": "high", "WARNING": "medium", "NOTE": "low", "INFO": "informational", "UNKNOWN": "informational"}
 
 
@@ -48,8 +52,6 @@ def _common(tool: str, rule: Column, identity: tuple, title: Column, level: Colu
     ]
 
 
-
-
 def sarif(reports: DataFrame) -> DataFrame:
     schema = "runs array<struct<tool:struct<driver:struct<name:string>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint>>>>>>>>"
     r = reports.select(F.from_json("report", schema).alias("j")).select(F.explode("j.runs").alias("run")).select(F.col("run.tool.driver.name").alias("tool"), F.explode("run.results").alias("r"))
@@ -60,6 +62,23 @@ def sarif(reports: DataFrame) -> DataFrame:
     return out.withColumn("engine_id", F.concat(F.lit("external:"), F.coalesce(F.lower("tool"), F.lit("unknown")))).drop("tool")
 
 
+def findings(reports: DataFrame) -> DataFrame:
+    """The findings that this engine's own SARIF documents carry whole: what was written, without loss."""
+    schema = f"runs array<struct<results:array<struct<properties:struct<`{WHOLE}`:struct<{S.FINDING}>>>>>>"
+    results = reports.select(F.explode(F.from_json("report", schema)["runs"]).alias("run")).select(F.explode("run.results").alias("r"))
+    whole = results.select(F.col(f"r.properties.`{WHOLE}`").alias("f"))
+    return whole.where("f.finding_id is not null").select("f.*")
+
+
+def as_observations(found: DataFrame) -> DataFrame:
+    """Imported findings as observations to be merged with a scan's: each stands for its first source."""
+    first = F.get("sources", F.lit(0))
+    return found.select(
+        F.coalesce(first["engine_id"], F.lit("external:unknown")).alias("engine_id"), first["rule_id"].alias("rule_id"), "identity", "title", "description",
+        "severity", "confidence", "asset", "location", "evidence", "remediation", "cwe",
+    )
+
+
 def trivy(reports: DataFrame) -> DataFrame:
     schema = "Results array<struct<Target:string,Type:string,Vulnerabilities:array<struct<VulnerabilityID:string,PkgName:string,InstalledVersion:string,FixedVersion:string,Severity:string,Title:string,PkgIdentifier:struct<PURL:string>>>>>"
     r = reports.select(F.explode(F.from_json("report", schema)["Results"]).alias("r")).select("r.Target", "r.Type", F.explode("r.Vulnerabilities").alias("v"))
