@@ -165,6 +165,30 @@ def test_mpeg_audio(docs, empty):
     assert o.parse(data)["micros"] == len(o.parse(data)["offsets"]) * 1152 * 1_000_000 // 32000
 
 
+def test_mpeg_audio_of_other_kinds():
+    from vetstone.llm import op04_mpeg_audio as o
+
+    # version, layer, bitrate index, rate index: length, Hz, samples, after the published formulas
+    cases = [((3, 3, 9, 0), (417, 44100, 1152)), ((3, 2, 10, 1), (576, 48000, 1152)), ((3, 1, 8, 2), (384, 32000, 384)), ((2, 3, 8, 0), (208, 22050, 576)), ((0, 3, 4, 2), (288, 8000, 576)), ((2, 1, 5, 1), (160, 24000, 384))]
+    for (version, layer, bitrate, rate), (length, hz, samples) in cases:
+        header = 0x7FF << 21 | version << 19 | (4 - layer) << 17 | 1 << 16 | bitrate << 12 | rate << 10
+        f = o.frame_of(header)
+        assert (f.length, f.rate, f.samples) == (length, hz, samples)
+        frame = header.to_bytes(4, "big") + bytes(length - 4)
+        p = o.parse(b"ID3\x04\x00\x10\x00\x00\x00\x00" + b"3DI\x04\x00\x10\x00\x00\x00\x00" + frame * 3 + b"TAG" + bytes(125))
+        assert p["offsets"] == [20 + k * length for k in range(3)] and p["skipped"] == 0 and p["micros"] == round(3 * samples * 1e6 / hz)
+    for header in (0xFFEB9000, 0xFFF90000 | 0xF000, 0xFFFB9C00, 0xFFFB9002, 0x12345678):
+        assert o.frame_of(header) is None
+    data = o.store(bytes(range(256)) * 40)
+    assert o.parse(data)["vbr_ok"] is True and o.parse(data[: o.parse(data)["offsets"][-1]])["vbr_ok"] is False
+    head = (0x7FF << 21 | 3 << 19 | 1 << 17 | 1 << 16 | 9 << 12).to_bytes(4, "big")
+    vbri = head + bytes(32) + b"VBRI" + bytes(6) + (3 * 417).to_bytes(4, "big") + (2).to_bytes(4, "big") + bytes((0, 1, 0, 1, 0, 2, 0, 1)) + b"\x01\xa1"
+    p = o.parse(vbri + bytes(417 - len(vbri)) + (head + bytes(413)) * 2)
+    assert p["vbr"] == {"frames": 2, "bytes": 1251, "toc": b"\x01\xa1"} and p["vbr_ok"] and p["offsets"] == [417, 834]
+    tag = b"TIT2\x00\x00\x00\x04\x00\x00\x00a\xff\x00b"
+    assert o.parse(b"ID3\x03\x00\x80\x00\x00\x00" + bytes([len(tag)]) + tag)["tags"] == {"TIT2": "aÿb"}
+
+
 def brute_spans(text):
     out = []
     for k, (p, g, least) in enumerate([(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), (r"AKIA[A-Z0-9]+", 0, 20), (r"[0-9a-f]+", 0, 24)]):

@@ -1,16 +1,19 @@
 """Media columns: MPEG audio.
 
-`parse` reads a stream of MPEG-1 layer III frames: it skips ID3v2 tags, resynchronises on frame headers (a sync word
-counts only if the header is valid and another frame, a tag or the end follows where its length says), reads the
-variable-bitrate table of a Xing frame, verifies the 16-bit checksum of protected frames, and reports exact durations
-and the byte offset of every frame, so that a reader can seek.
+`parse` reads a stream of MPEG-1, 2 and 2.5 frames of layers I to III: it skips ID3v2 tags (with their text frames, if
+need be unsynchronised, and their footers), resynchronises on frame headers (a sync word counts only if the header is
+valid and another frame, a tag or the end follows where its length says), reads the variable-bitrate table of a Xing,
+Info or VBRI frame and holds it against the frames that are there, verifies the 16-bit checksum of protected layer III
+frames, and reports exact durations and the byte offset of every frame, so that a reader can seek.
 
 `store` writes any bytes losslessly as such a stream: an ID3v2 tag with their number, a Xing frame with the number of
 frames and a table of contents, and protected mono frames with the bytes in their main data. The last frame has the
 lowest bitrate that holds the rest.
 
-Null text is empty; rows are independent, so repeated rows and null ids are kept as they come. A stream with garbage
-gives the frames that can be found; one without any gives zero frames. An empty table gives an empty result.
+Null text is empty; rows are independent, so repeated rows and null ids are kept as they come. Very long texts are one
+stream each. A stream with garbage gives the frames that can be found; one without any gives zero frames. Extra columns
+are left behind by `stored` and kept by `probed`, where those named like its own are an error of Spark's. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,10 @@ from pyspark.sql import functions as F
 
 from vetstone.llm.common import string_buffers, table
 
-BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)  # kbit/s, MPEG-1 layer III
+# Fixed values of the format: kbit/s by index, for MPEG-1 layers I, II, III and for MPEG-2 and 2.5; Hz; samples.
+BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+BITRATES_1 = ((0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448), (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384), BITRATES)
+BITRATES_2 = ((0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256), *[(0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)] * 2)
 RATES = (44100, 48000, 32000)
 SAMPLES = 1152
 SIDE_MONO, SIDE_STEREO = 17, 32
@@ -56,14 +64,34 @@ def crc16(data: bytes) -> int:
     return c
 
 
+class Frame(NamedTuple):
+    length: int
+    rate: int
+    samples: int
+    #: Bytes of side information, which the checksum covers; 0 where that isn't layer III's.
+    side: int
+
+
+def frame_of(header: int) -> Frame | None:
+    """What a 32-bit header says; None if it isn't one of a frame."""
+    version, layer, bitrate, rate = header >> 19 & 3, 4 - (header >> 17 & 3), header >> 12 & 15, header >> 10 & 3
+    if header >> 21 != 0x7FF or version == 1 or layer == 4 or bitrate in (0, 15) or rate == 3 or header & 3 == 2:
+        return None
+    hz = RATES[rate] >> (2, 0, 1, 0)[version]
+    first = version == 3
+    bits = 1000 * (BITRATES_1 if first else BITRATES_2)[layer - 1][bitrate]
+    samples = 384 if layer == 1 else SAMPLES if layer == 2 or first else SAMPLES // 2
+    pad = header >> 9 & 1
+    length = 4 * (12 * bits // hz + pad) if layer == 1 else samples // 8 * bits // hz + pad
+    mono = header >> 6 & 3 == 3
+    side = 0 if layer < 3 else (SIDE_MONO if mono else SIDE_STEREO) if first else (9 if mono else 17)
+    return Frame(length, hz, samples, side)
+
+
 def frame_length(header: int) -> int:
-    """Bytes of the frame with this 32-bit header; 0 if the header isn't one of MPEG-1 layer III."""
-    if header >> 21 != 0x7FF or header >> 19 & 3 != 3 or header >> 17 & 3 != 1:
-        return 0
-    bitrate, rate = header >> 12 & 15, header >> 10 & 3
-    if bitrate in (0, 15) or rate == 3 or header & 3 == 2:
-        return 0
-    return 144_000 * BITRATES[bitrate] // RATES[rate] + (header >> 9 & 1)
+    """Bytes of the frame with this 32-bit header; 0 if it isn't one."""
+    f = frame_of(header)
+    return f.length if f else 0
 
 
 def _header(bitrate: int, protected: bool = True) -> int:
@@ -108,38 +136,63 @@ def _tags(data: bytes) -> tuple[int, dict[str, str]]:
     at, out = 0, {}
     while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
         n = data[at + 6] << 21 | data[at + 7] << 14 | data[at + 8] << 7 | data[at + 9]
-        i, end = at + 10, min(at + 10 + n, len(data))
-        wide = data[at + 3] >= 4  # version 2.4 counts in 7-bit bytes
-        while i + 10 <= end and data[i : i + 4].isalnum():
-            size = int.from_bytes(data[i + 4 : i + 8], "big")
+        tag = data[at + 10 : at + 10 + n]
+        wide, flags = data[at + 3] >= 4, data[at + 5]  # version 2.4 counts in 7-bit bytes
+        if flags & 0x80:  # unsynchronised: no byte of 255 stands before a sync's second one
+            tag = tag.replace(b"\xff\x00", b"\xff")
+        i = 0
+        while i + 10 <= len(tag) and tag[i : i + 4].isalnum():
+            size = int.from_bytes(tag[i + 4 : i + 8], "big")
             if wide:
-                size = data[i + 4] << 21 | data[i + 5] << 14 | data[i + 6] << 7 | data[i + 7]
-            body = data[i + 10 : min(i + 10 + size, end)]
-            if data[i : i + 1] == b"T" and body:
+                size = tag[i + 4] << 21 | tag[i + 5] << 14 | tag[i + 6] << 7 | tag[i + 7]
+            body = tag[i + 10 : i + 10 + size]
+            if tag[i : i + 1] == b"T" and body:
                 parts = body[1:].decode("utf-16" if body[0] in (1, 2) else "utf-8" if body[0] == 3 else "latin-1", "replace").split("\0")
-                key = data[i : i + 4].decode("latin-1")
+                key = tag[i : i + 4].decode("latin-1")
                 out[f"{key}:{parts[0]}" if key == "TXXX" and len(parts) > 1 else key] = parts[1] if key == "TXXX" and len(parts) > 1 else parts[0]
             i += 10 + size
-        at += 10 + n
+        at += 10 + n + (10 if flags & 0x10 else 0)  # a footer repeats the header
     return at, out
 
 
+def _table(data: bytes, at: int, head: int) -> dict | None:
+    """The variable-bitrate table in the frame at a place, if it has one: frames, bytes and toc as far as it names them."""
+    i = at + head
+    if data[i : i + 4] in (b"Xing", b"Info"):
+        flags, out = int.from_bytes(data[i + 4 : i + 8], "big"), {"frames": None, "bytes": None, "toc": None}
+        i += 8
+        for bit, key in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                out[key], i = int.from_bytes(data[i : i + 4], "big"), i + 4
+        if flags & 4:
+            out["toc"] = data[i : i + 100]
+        return out
+    i = at + 36
+    if data[i : i + 4] == b"VBRI" and len(data) >= i + 26:
+        size, frames, entries, _, width, _ = struct.unpack(">IIHHHH", data[i + 10 : i + 26])
+        return {"frames": frames, "bytes": size, "toc": data[i + 26 : i + 26 + entries * width]}
+    return None
+
+
 def parse(data: bytes) -> dict:
-    """tags, vbr (frames, bytes, toc) or None, offsets, lengths, heads (bytes before main data), samples, micros, bad, skipped."""
+    """tags, vbr (frames, bytes, toc) or None, vbr_ok (whether it agrees with what is there; None without one), offsets,
+    lengths, heads (bytes before main data), samples, micros, bad, skipped."""
     at, tags = _tags(data)
     end = len(data)
     if data[-128:-125] == b"TAG":
         end -= 128
-    offsets, lengths, heads, vbr = [], [], [], None
-    samples, micros, bad, skipped = 0, 0.0, 0, 0
+    offsets, lengths, heads, vbr, table_bytes = [], [], [], None, 0
+    samples: dict[int, int] = {}
+    bad, skipped = 0, 0
     checked: dict[bytes, bool] = {}
-    known: dict[bytes, int] = {}
+    known: dict[bytes, Frame | None] = {}
     locked = False
     while at + 4 <= end:
         h = data[at : at + 4]
-        n = known.get(h)
-        if n is None:
-            n = known[h] = frame_length(int.from_bytes(h, "big"))
+        if h not in known:
+            known[h] = frame_of(int.from_bytes(h, "big"))
+        f = known[h]
+        n = f.length if f else 0
         if n and not locked:  # resynchronise: what follows must be a frame or the end
             nxt = at + n
             if nxt > end or nxt + 4 <= end and not frame_length(int.from_bytes(data[nxt : nxt + 4], "big")):
@@ -152,9 +205,8 @@ def parse(data: bytes) -> dict:
             continue
         locked = True
         protected = not h[1] & 1
-        side = SIDE_MONO if h[3] >> 6 == 3 else SIDE_STEREO
-        head = 4 + 2 * protected + side
-        if protected:
+        head = 4 + 2 * protected + f.side
+        if protected and f.side:
             part = data[at + 2 : at + head]
             ok = checked.get(part)
             if ok is None:
@@ -162,22 +214,17 @@ def parse(data: bytes) -> dict:
                 if len(checked) < 4096:
                     checked[part] = ok
             bad += not ok
-        if not offsets and vbr is None and data[at + head : at + head + 4] in (b"Xing", b"Info"):
-            flags = int.from_bytes(data[at + head + 4 : at + head + 8], "big")
-            i, vbr = at + head + 8, {"frames": None, "bytes": None, "toc": None}
-            for bit, key in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    vbr[key], i = int.from_bytes(data[i : i + 4], "big"), i + 4
-            if flags & 4:
-                vbr["toc"] = data[i : i + 100]
+        if not offsets and vbr is None and (vbr := _table(data, at, head)) is not None:
+            table_bytes = n
         else:
             offsets.append(at)
             lengths.append(n)
             heads.append(head)
-            samples += SAMPLES
-            micros += SAMPLES * 1e6 / RATES[h[2] >> 2 & 3]
+            samples[f.rate] = samples.get(f.rate, 0) + f.samples
         at += n
-    return {"tags": tags, "vbr": vbr, "offsets": offsets, "lengths": lengths, "heads": heads, "samples": samples, "micros": round(micros), "bad": bad, "skipped": skipped + max(0, end - at)}
+    micros = round(sum((Fraction(1_000_000 * n, rate) for rate, n in samples.items()), Fraction(0)))
+    vbr_ok = None if vbr is None else vbr["frames"] in (None, len(offsets)) and vbr["bytes"] in (None, sum(lengths) + table_bytes)
+    return {"tags": tags, "vbr": vbr, "vbr_ok": vbr_ok, "offsets": offsets, "lengths": lengths, "heads": heads, "samples": sum(samples.values()), "micros": micros, "bad": bad, "skipped": skipped + max(0, end - at)}
 
 
 def payload_of(data: bytes, parsed: dict | None = None) -> bytes:
@@ -193,7 +240,8 @@ def feature(x: dict) -> str:
     seek = hashlib.sha256(np.array(x["offsets"], "<i8").tobytes()).hexdigest()[:16]
     kbps = round(sum(x["lengths"]) * 8 / 1000 / seconds) if seconds else 0
     vbr = x["vbr"] or {}
-    return f"frames={len(x['offsets'])};samples={x['samples']};micros={x['micros']};bad_crc={x['bad']};skipped={x['skipped']};kbps={kbps};vbr_frames={vbr.get('frames', 0)};vbr_bytes={vbr.get('bytes', 0)};seek={seek}"
+    agrees = "" if x["vbr_ok"] is None else int(x["vbr_ok"])
+    return f"frames={len(x['offsets'])};samples={x['samples']};micros={x['micros']};bad_crc={x['bad']};skipped={x['skipped']};kbps={kbps};vbr_frames={vbr.get('frames', 0)};vbr_bytes={vbr.get('bytes', 0)};vbr_ok={agrees};seek={seek}"
 
 
 def stored(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -236,4 +284,4 @@ NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_
 
 
 def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probed(stored(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "micros", "bad_crc")
+    return probed(stored(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "micros", "bad_crc", "frame_offsets")
