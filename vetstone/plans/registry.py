@@ -468,14 +468,14 @@ _GRADE = "CASE s WHEN 'CRITICAL' THEN 'critical' WHEN 'HIGH' THEN 'high' WHEN 'M
 
 @query(f"""WITH p AS (SELECT *, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][p_size % 4 + 1] AS s FROM part)
 SELECT {_COLUMNS} FROM (SELECT 'external:trivy' AS engine_id, 'CVE-' || p_partkey AS rule_id, 'vulnerable_dependency' AS finding_class, 'pkg:npm/' || p_brand || '@' || p_size || '.0.0' AS f1, 'CVE-' || p_partkey AS f2,
-  {_GRADE} AS severity, p_mfgr AS path, NULL AS line, '' AS cwe, CASE WHEN p_size % 2 = 0 THEN p_size + 1 || '.0.0' END AS fixed_version FROM p)""")
+  {_GRADE} AS severity, p_type AS path, NULL AS line, '' AS cwe, CASE WHEN p_size % 2 = 0 THEN p_size + 1 || '.0.0' END AS fixed_version FROM p)""")
 def json_import_trivy(spark, sf_dir):
     """Reports of one vulnerability each, imported: the purl is built where the report has none."""
     p = read(spark, sf_dir, "part")
     level = F.get(F.array(*map(F.lit, ("CRITICAL", "HIGH", "MEDIUM", "LOW"))), F.col("p_size") % 4)
     size = F.col("p_size").cast("string")
     v = F.struct(F.concat(F.lit("CVE-"), "p_partkey").alias("VulnerabilityID"), F.col("p_brand").alias("PkgName"), F.concat(size, F.lit(".0.0")).alias("InstalledVersion"), F.when(F.col("p_size") % 2 == 0, F.concat((F.col("p_size") + 1).cast("string"), F.lit(".0.0"))).alias("FixedVersion"), level.alias("Severity"))
-    doc = F.struct(F.lit(2).alias("SchemaVersion"), F.array(F.struct(F.col("p_mfgr").alias("Target"), F.lit("npm").alias("Type"), F.array(v).alias("Vulnerabilities"))).alias("Results"))
+    doc = F.struct(F.lit(2).alias("SchemaVersion"), F.array(F.struct(F.col("p_type").alias("Target"), F.lit("npm").alias("Type"), F.array(v).alias("Vulnerabilities"))).alias("Results"))
     return _imported(reports.observations(p.select(F.to_json(doc).alias("report"))))
 
 
@@ -488,11 +488,11 @@ def json_import_semgrep(spark, sf_dir):
     return _imported(reports.observations(p.select(F.to_json(F.struct(F.array(r).alias("results"), F.array().cast("array<string>").alias("errors"))).alias("report"))))
 
 
-@query(f"""SELECT {_COLUMNS} FROM (SELECT 'external:checkov' AS engine_id, 'CK_' || p_size AS rule_id, 'iac_misconfiguration' AS finding_class, 'CK_' || p_size AS f1, p_mfgr || '/main.tf' AS f2,
-  CASE WHEN p_size % 2 = 0 THEN 'high' ELSE 'medium' END AS severity, p_mfgr || '/main.tf' AS path, NULL AS line, '' AS cwe, CAST(NULL AS VARCHAR) AS fixed_version FROM part)""")
+@query(f"""SELECT {_COLUMNS} FROM (SELECT 'external:checkov' AS engine_id, 'CK_' || p_size AS rule_id, 'iac_misconfiguration' AS finding_class, 'CK_' || p_size AS f1, p_type || '/main.tf' AS f2,
+  CASE WHEN p_size % 2 = 0 THEN 'high' ELSE 'medium' END AS severity, p_type || '/main.tf' AS path, NULL AS line, '' AS cwe, CAST(NULL AS VARCHAR) AS fixed_version FROM part)""")
 def json_import_checkov(spark, sf_dir):
     p = read(spark, sf_dir, "part")
-    c = F.struct(F.concat(F.lit("CK_"), "p_size").alias("check_id"), F.col("p_name").alias("check_name"), F.concat(F.lit("/"), "p_mfgr", F.lit("/main.tf")).alias("file_path"), F.col("p_type").alias("resource"), F.when(F.col("p_size") % 2 == 0, "HIGH").alias("severity"))
+    c = F.struct(F.concat(F.lit("CK_"), "p_size").alias("check_id"), F.col("p_name").alias("check_name"), F.concat(F.lit("/"), "p_type", F.lit("/main.tf")).alias("file_path"), F.col("p_type").alias("resource"), F.when(F.col("p_size") % 2 == 0, "HIGH").alias("severity"))
     return _imported(reports.observations(p.select(F.to_json(F.struct(F.lit("terraform").alias("check_type"), F.struct(F.array(c).alias("failed_checks")).alias("results"))).alias("report"))))
 
 
