@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,15 +83,22 @@ def breaker(requests: DataFrame, window_ms: int = 60_000, least: int = 5, most:
 
 
 def token_bucket(requests: DataFrame, rps: float) -> DataFrame:
-    """Adds wait_ms to requests (host, ts_ms): 0 if a token was there, else the time until there is one. After a wait the
-    request goes without a token. Hosts are independent, and each one's requests are folded in order of time."""
-
-    def step(acc: Column, t: Column) -> Column:
-        filled = F.least(F.lit(float(rps)), acc["tokens"] + (t - acc["at"]) / 1000.0 * rps)
-        go = filled >= 1
-        wait = F.when(go, F.lit(0)).otherwise(F.ceil((1 - filled) / rps * 1000)).cast("long")
-        return F.struct(t.alias("at"), F.when(go, filled - 1).otherwise(filled).alias("tokens"), F.concat(acc["out"], F.array(F.struct(t.alias("ts_ms"), wait.alias("wait_ms")))).alias("out"))
-
-    times = requests.groupBy("host").agg(F.array_sort(F.collect_list("ts_ms")).alias("ts"))
-    begin = F.struct(F.get("ts", F.lit(0)).alias("at"), F.lit(float(rps)).alias("tokens"), F.array().cast("array<struct<ts_ms:bigint,wait_ms:bigint>>").alias("out"))
-    return times.select("host", F.explode(F.aggregate("ts", begin, step, lambda acc: acc["out"])).alias("r")).select("host", "r.*")
+    """(host, ts_ms, wait_ms) of requests (host, ts_ms): 0 if a token was there, else the time until there is one. After a
+    wait the request goes without a token. Hosts are independent; each one's requests are read in order of time, with the
+    bucket's state alone kept between them, however many they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, at, tokens = None, 0, float(rps)
+        for b in batches:
+            waits = []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if h != host:
+                    host, at, tokens = h, t, float(rps)
+                tokens = min(float(rps), tokens + (t - at) / 1000.0 * rps)
+                at = t
+                waits.append(0 if tokens >= 1 else math.ceil((1 - tokens) / rps * 1000))
+                tokens -= tokens >= 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(waits, pa.int64())], ["host", "ts_ms", "wait_ms"])
+
+    rows = requests.where(F.col("ts_ms").isNotNull()).select(F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host"), F.col("ts_ms").cast("long").alias("ts_ms"))
+    return rows.repartition("host").sortWithinPartitions("host", "ts_ms").mapInArrow(run, "host string, ts_ms long, wait_ms long")

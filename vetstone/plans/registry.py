@@ -211,6 +211,24 @@ def findings_ranked(spark, sf_dir):
     return out.select("finding_id", "title", "severity", "confidence", "s.risk_score", "location", "sources", F.lit("open").alias("status")).orderBy(F.desc("risk_score"), "finding_id")
 
 
+@query("""
+WITH r AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS part, 'src/' || l_suppkey AS path, 'engine-' || (l_linenumber % 3) AS engine, 'rule-' || l_returnflag AS rule,
+    CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 1 ELSE 4 END AS s, CASE WHEN l_linenumber <= 2 THEN 1 ELSE 0 END AS c, 't' || l_linenumber AS title, l_orderkey AS line FROM lineitem),
+m AS (
+  SELECT part, path, max(s) + 1 AS s, CASE WHEN count(DISTINCT engine) >= 2 THEN greatest(max(c), 2) ELSE max(c) END + 1 AS c, arg_min(title, {'e': engine, 'r': rule, 't': title, 'l': line}) AS title
+  FROM r GROUP BY part, path)
+SELECT sha256('structural_pattern|' || part || '|' || path || '|h') AS finding_id, title, ['informational', 'low', 'medium', 'high', 'critical'][s] AS severity, ['unconfirmed', 'heuristic', 'corroborated', 'proven'][c] AS confidence,
+  round(100.0::DOUBLE * [0.05, 0.25, 0.5, 0.75, 1.0][s] * 0.7 * 0.55 * [0.5, 0.7, 0.85, 1.0][c], 6) AS risk_score FROM m""")
+def findings_scored(spark, sf_dir):
+    """findings_ranked with ids by a hash that SQL has, too."""
+    m = merge.merge(_observations(spark, sf_dir))
+    none, i = F.lit(None).cast("string"), F.col("identity")
+    s = score.score(F.col("severity"), F.lit(False), F.lit("no_cve"), F.lit(None).cast("double"), F.col("confidence"), none, none)
+    own = F.sha2(F.concat_ws("|", i["finding_class"], i["f1"], i["f2"], i["f3"]), 256)
+    return m.select(own.alias("finding_id"), "title", "severity", "confidence", F.round(s["risk_score"], 6).alias("risk_score"))
+
+
 # ---- scores and feeds ----------------------------------------------------------------------------------------------
 
 _SEVERITY = {"1-URGENT": "critical", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "low", "5-LOW": "informational"}
@@ -399,7 +417,13 @@ def breaker(spark, sf_dir):
     return probe.breaker(e, 600).select("event_id", "samples", "failures", "abort")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS host, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id % 50 ORDER BY floor(epoch(ts))) AS n FROM events),
+s(host, n, t, tokens, wait) AS (
+  SELECT host, n, t, 4.0::DOUBLE, 0::BIGINT FROM e WHERE n = 1
+  UNION ALL SELECT host, n, t, CASE WHEN f >= 1 THEN f - 1 ELSE f END, CASE WHEN f >= 1 THEN 0 ELSE CAST(ceil((1 - f) / 5.0::DOUBLE * 1000) AS BIGINT) END FROM (
+    SELECT e.host, e.n, e.t, least(5.0::DOUBLE, s.tokens + (e.t - s.t) / 1000.0::DOUBLE * 5.0::DOUBLE) AS f FROM s JOIN e ON e.host = s.host AND e.n = s.n + 1))
+SELECT host, t AS ts_ms, wait AS wait_ms FROM s""")
 def token_bucket(spark, sf_dir):
     """Waits that a token bucket imposes on each host's requests."""
     e = read(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("host"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_ms"))
