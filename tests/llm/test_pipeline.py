@@ -48,3 +48,28 @@ def test_run(spark, tmp_path):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and "sequence_id" in out.columns
+
+
+def test_awkward_rows_pass_all_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice(["the", "an", "er", "in", "on", "ha"]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    item, same = prose(30), prose(60)
+    rows = [(None, prose(60)), (None, prose(60)), (None, None), (1, ""), (2, same), (2, same), (3, same), (2, prose(60)), (4, prose(20) + " " + item), (5, prose(30_000)), (6, "line one of some length here\n" * 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, d string, score string, item_id string"
+    frame = spark.createDataFrame([(i, t, None, None, None, "d", "s", "q") for i, t in rows], schema)
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("q", item), ("none", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for start, want in ((frame, [11, 11, 10, 9]), (frame.limit(0), [0] * 4)):
+        docs, got = start, []
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if k == 4:
+                assert out.count() >= got[-1] and {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+                break
+            assert out.columns == frame.columns, name
+            out.write.parquet(path := f"{tmp_path}/{k}-{start.count()}")
+            docs = spark.read.parquet(path)
+            got.append(docs.count())
+        assert got == want

@@ -7,8 +7,9 @@ Spans are in code points, end exclusive, leftmost and non-overlapping per rule:
 which those whose group is too short are dropped after matching. Starts come from the pieces between matches, which
 `split` gives, so that no engine but Spark's own regular expressions is needed.
 
-Null text is empty (no findings); repeated rows and null ids are paths of their own and kept as they come; extra
-columns are ignored. Empty tables give empty results.
+Null text is empty (no findings); repeated rows and null ids are paths of their own and kept as they come; very long
+texts are one blob each, scanned whole; extra columns are ignored, clashing names too. Of equal spans (ties) of one rule
+there is one; spans of different rules at one place stand in the rules' order. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from vetstone.llm.common import table
 
 
+#: Spans that are put together before they join those found so far: a fold copies what it has at each step.
+BLOCK = 256
+
+
 class Rule(NamedTuple):
     kind: str
     pattern: str
@@ -56,15 +61,17 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
         end = start + F.length(F.get(parts["match"], i))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
         long_enough = F.length(F.get(parts["value"], i)) >= rule.least
-        return F.struct(end.alias("at"), F.when(long_enough, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        some = F.when(long_enough, F.concat(acc["some"], F.array(span))).otherwise(acc["some"])
+        full = F.size(acc["some"]) >= BLOCK - 1
+        return F.struct(end.alias("at"), F.when(full, none).otherwise(some).alias("some"), F.when(full, F.concat(acc["out"], F.array(some))).otherwise(acc["out"]).alias("out"))
 
     one = F.transform(
         F.array(parts),  # evaluated once, then bound
         lambda p: F.aggregate(
             F.sequence(F.lit(0), F.size(p["match"]) - 1),
-            F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")),
+            F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("some"), F.array().cast(f"array<{SPAN}>").alias("out")),
             lambda acc, i: step(p, acc, i),
-            lambda acc: acc["out"],
+            lambda acc: F.concat(F.flatten(acc["out"]), acc["some"]),
         ),
     )
     return F.when(text.rlike(rule.pattern), F.get(one, F.lit(0))).otherwise(none)

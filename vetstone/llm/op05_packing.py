@@ -13,7 +13,7 @@ which has at most `capacity` entries however many documents there are:
 The outcome is a table of runs (length, first rank, place); each piece finds its place by its rank among the pieces of
 its length. Ranks are counted in salted buckets, so that a frequent length is no single task's work.
 
-Null text is empty: one token. Rows are packed as they come, repeated rows and null ids too (a null id stays null).
+Null text is empty: one token. Very long texts are tokenised whole and cut into pieces. Ties of length are settled by rank. Rows are packed as they come, repeated rows and null ids too (a null id stays null).
 Extra columns are ignored. An empty table gives an empty result.
 """
 

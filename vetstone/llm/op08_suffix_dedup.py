@@ -9,7 +9,8 @@ which the longest-common-prefix arrays of the two sorted lists tell for all plac
 A byte goes if a string of `width` bytes over it also starts earlier: in a smaller doc_id, or earlier in the same
 document; matches never cross documents and are judged on the input. Rows that share a doc_id lie on top of each other
 for that test (only starts before their own count) and get a row each; a null doc_id counts as the smallest; null text
-is empty; extra columns are ignored. An empty table gives an empty result.
+is empty; very long texts are taken whole, one at a time, with some tens of bytes of working memory a byte; extra columns
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ doubled again until no candidate survives.
 
 A word goes if a window over it has a word sequence that also starts in a document with a smaller doc_id; windows are
 judged on the input. Rows that share a doc_id are one document for that test and get a row each; a null doc_id counts
-as the smallest; null text is empty; extra columns are ignored. An empty table gives an empty result.
+as the smallest; null text is empty; very long texts are taken whole, one at a time; extra columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
