@@ -294,3 +294,33 @@ def test_dependencies_become_findings(spark):
     assert images.os_database(db).first().kind == "apk" and images.os_database(db.where("path like 'var%'")).first().kind == "legacy_rpm"
     assert feeds.staleness("2024-01-01T00:00:00+00:00", "2024-01-09T01:00:00+00:00", "7d") == 193 and feeds.staleness("2024-01-01T00:00:00+00:00", "2024-01-02T00:00:00+00:00", "7d") is None
     assert state.engines(["code", "web"], {"secrets": True, "sca": True, "probe": False}) == ["secrets"]
+
+
+def test_authorization_and_audit(spark, tmp_path):
+    from vetstone.functions import ed25519
+    from vetstone.operators import authorization
+
+    seed = bytes(32)
+    a = {"id": "a1", "attestation": "we own it", "valid_from": "2024-01-01T00:00:00+00:00", "valid_until": "2024-02-01T00:00:00+00:00", "profile": "quick", "include": ["*.x.example"], "exclude": ["no.x.example"]}
+    signature, key = ed25519.sign(seed, authorization.signed_bytes(a)), ed25519.public_key(seed)
+    assert authorization.verified(a, signature, key, "2024-02-01T00:00:00+00:00") is a
+    wide = a | {"include": ["*.co.uk"]}
+    for b, s, k, now in ((a | {"attestation": " "}, signature, key, "2024-01-02T00:00:00+00:00"), (a | {"profile": "deep"}, signature, key, "2024-01-02T00:00:00+00:00"), (a, signature, None, "2024-01-02T00:00:00+00:00"), (a, signature, key, "2024-02-01T00:00:01+00:00"), (wide, ed25519.sign(seed, authorization.signed_bytes(wide)), key, "2024-01-02T00:00:00+00:00")):
+        with pytest.raises(PermissionError):
+            authorization.verified(b, s, k, now)
+    asked = spark.createDataFrame([("GET", "https://a.x.example/\t", "a.x.example"), ("GET", "/", "no.x.example"), ("GET", "/", "other")], "method string, target string, host string")
+    decisions = authorization.decided(asked, a, F.to_timestamp(F.lit("2024-01-02T00:00:00Z")))
+    assert [r.allowed for r in decisions.collect()] == [True, False, False]
+    for _ in range(2):
+        authorization.audit(decisions, str(tmp_path / "audit"))
+    lines = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "audit")).collect()]
+    assert len(lines) == 6 and {tuple(x[1:]) for x in lines} == {("a1", "GET", "https://a.x.example/ ", "allow:included"), ("a1", "GET", "/", "deny:excluded"), ("a1", "GET", "/", "deny:not-included")}
+
+
+def test_store_refuses_newer_layouts(spark, tmp_path):
+    from vetstone.streaming.store import Store
+
+    Store(spark, str(tmp_path / "db"))
+    (tmp_path / "db/version/9").mkdir()
+    with pytest.raises(ValueError):
+        Store(spark, str(tmp_path / "db"))

@@ -103,3 +103,41 @@ def test_pnpm_keys():
     from vetstone.sources.lockfiles import pnpm_key
 
     assert [pnpm_key(k) for k in ("string_decoder@1.1.1", "/string_decoder@1.3.0", "/@s/a@1.0.0(p@2)", "@s/a@1.0.0_p@2", "/@babel/core/7.1.0_x@1", "/foo/1.0.0", "x")] == [("string_decoder", "1.1.1"), ("string_decoder", "1.3.0"), ("@s/a", "1.0.0"), ("@s/a", "1.0.0"), ("@babel/core", "7.1.0"), ("foo", "1.0.0"), None]
+
+
+def test_ed25519_known_answers():
+    """RFC 8032, section 7.1, tests 1 and 2."""
+    from vetstone.functions import ed25519
+
+    for seed, key, message, signature in (
+        ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+        ("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb", "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+    ):
+        seed, key, message, signature = (bytes.fromhex(x) for x in (seed, key, message, signature))
+        assert ed25519.public_key(seed) == key and ed25519.sign(seed, message) == signature and ed25519.verify(key, message, signature)
+        assert not ed25519.verify(key, message + b"x", signature) and not ed25519.verify(key, message, signature[:-1] + b"\xff") and not ed25519.verify(b"", message, signature)
+
+
+def test_bundles():
+    from vetstone.functions import ed25519
+    from vetstone.sources import bundles
+
+    seed = bytes(range(32))
+    data = bundles.export({"snapshot_id": "s"}, {"kev.json": b"{}", "a/b": b"x" * 1000}, seed)
+    manifest, files = bundles.read(data, ed25519.public_key(seed))
+    assert manifest["snapshot_id"] == "s" and files == {"kev.json": b"{}", "a/b": b"x" * 1000}
+    with pytest.raises(ValueError):
+        bundles.read(data, ed25519.public_key(bytes(32)))
+
+
+def test_config(tmp_path):
+    from vetstone.sources import config
+
+    (tmp_path / "a/b").mkdir(parents=True)
+    assert config.load(str(tmp_path / "a/b"))["format"] == "table"
+    (tmp_path / "vetstone.toml").write_text('format = "json"\nexclude = ["x"]\n[[suppressions]]\nrule_id = "r"\nreason = "known"\nexpires = "2030-01-01"\n')
+    c = config.load(str(tmp_path / "a/b"), format=None, offline=True)
+    assert (c["format"], c["exclude"], c["offline"], c["max_feed_age"]) == ("json", ["x"], True, "7d") and config.load(str(tmp_path), format="sarif")["format"] == "sarif"
+    for bad in ("colour = 1", '[[suppressions]]\nrule_id = "r"\n'):
+        with pytest.raises(ValueError):
+            config.parse(bad)

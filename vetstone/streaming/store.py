@@ -12,11 +12,22 @@ from vetstone.operators.state import put_suppressions, upsert
 
 STATE = "finding_id string, status string, risk_score double, finding_json string, first_seen timestamp, last_seen timestamp"
 SUPPRESSION = "finding_id string, reason string, expires string"
+#: The layout's version, and what brings a store of the version before to it.
+VERSION = 1
+MIGRATIONS = {1: lambda store: None}
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
+        """Opens a store, or makes it; one that a newer engine wrote is refused, an older one is brought forward."""
         self.spark, self.root = spark, root.rstrip("/")
+        fs, p = self._fs(f"{self.root}/version")
+        found = max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=0) if fs.exists(p) else 0
+        if found > VERSION:
+            raise ValueError(f"{root} has version {found}; this engine knows {VERSION}")
+        for v in range(found + 1, VERSION + 1):
+            MIGRATIONS[v](self)
+            fs.mkdirs(self._fs(f"{self.root}/version/{v}")[1])
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
