@@ -30,6 +30,8 @@ WIDTH = 100
 ANCHOR = 24
 #: Different contents of one anchor beyond which windows are compared by two 64-bit hashes, spread over tasks.
 HOT = 4096
+#: Bytes of undecided spans that are cut from a batch's texts at once.
+COLD = 1 << 22
 #: 8-byte digits that multikey quicksort looks at before blind tries take over.
 SHALLOW = 5
 
@@ -81,8 +83,8 @@ class BlindTrie:
 def deep_shallow(m: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of a byte matrix, and the common prefix of each row in that order with the one before."""
     n, width = m.shape
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if not n or not width:  # no width: nothing stands left of any anchor
+        return np.arange(n), np.zeros(n, np.int64)
     digits = np.zeros((n, -(-width // 8) * 8), np.uint8)
     digits[:, :width] = m
     digits = digits.view(">u8")
@@ -191,10 +193,12 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
             s, n, _ = R.unpack(p[cold])
             begin = offsets[row[cold]] + s
             size = n + width - 1
-            to = np.concatenate([[0], np.cumsum(size)])
-            data = raw[np.repeat(begin - to[:-1], size) + np.arange(to[-1])]
-            x = pa.Array.from_buffers(pa.binary(), len(cold), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data)])
-            yield R.batch_of(k[cold], np.zeros(len(cold), np.int64), d[row[cold]], th[row[cold]], p[cold], x)
+            for i, j in pieces(np.concatenate([[0], np.cumsum(size)]), COLD):
+                part = cold[i:j]
+                to = np.concatenate([[0], np.cumsum(size[i:j])])
+                data = raw[np.repeat(begin[i:j] - to[:-1], size[i:j]) + np.arange(to[-1])]
+                x = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data)])
+                yield R.batch_of(k[part], np.zeros(len(part), np.int64), d[row[part]], th[row[part]], p[part], x)
             warm = np.flatnonzero(q == 2)
             o = warm[np.argsort(row[warm], kind="stable")]
             for i, j in pieces(offsets) if len(o) else ():
