@@ -13,7 +13,8 @@ with itself at once: its nodes first try one head, the bucket's most met node, s
 costs a pair for each of its members. What is then still in different components is compared in full in buckets where
 a node meets few others (FULL). In larger ones, where many copies of one text may be near it but not each other, nodes
 are told apart by what they gained and lost against a hub (see `differences`), rarest shingles first: that makes finer
-buckets of the same kind, which are treated in the same way, and no link that a band offers is lost.
+buckets of the same kind, which are treated in the same way, and no link that a band offers is lost. Before sets are
+compared, pairs go of which 256 bits of parities (see `parities`) show that they differ in too many shingles.
 
 Returns one row per row of the input: doc_id, class_id (the least doc_id of its class). Texts without words are classes
 of their own. Rows that share a doc_id are told apart by their text. A null id stays null and counts as the smallest.
@@ -88,13 +89,21 @@ def prob_minhash(doc: np.ndarray, g: np.ndarray, w: np.ndarray, docs: int, m: in
     return sig.reshape(docs, m)
 
 
+def parities(doc: np.ndarray, g: np.ndarray, docs: int) -> np.ndarray:
+    """docs x 4 words of 64 bits: shingles fall on a bit each, which says whether their number there is odd. Two sets
+    differ in at least as many shingles as bits, so bits can rule a pair out but never in."""
+    words = np.zeros(docs * 4, np.uint64)
+    np.bitwise_xor.at(words, doc * 4 + (g >> np.uint64(62)).astype(np.int64), np.uint64(1) << ((g >> np.uint64(56)) & np.uint64(63)))
+    return words.view(np.int64)
+
+
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(d, e, bands, z): e names the text, z counts its shingles; no bands for a text without words."""
+    """(d, e, bands, z, bits): e names the text, z counts its shingles, bits are their parities; no bands for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = string_buffers(b.column(b.schema.get_field_index("text")))
-            out, count = [], []
+            out, count, bits = [], [], []
             for i, j in pieces(offsets, 1 << 21):
                 doc, g, w = weighted(*shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words))
                 sig = prob_minhash(doc, g, w, j - i, bands * rows).reshape(j - i, bands, rows)
@@ -104,12 +113,14 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int =
                 key = mix(key + np.arange(1, bands + 1, dtype=np.uint64))
                 out.append(key.view(np.int64))
                 count.append(np.bincount(doc, minlength=j - i))
-            keys, count = (np.concatenate(x) for x in (out, count))
+                bits.append(parities(doc, g, j - i))
+            keys, count, bits = (np.concatenate(x) for x in (out, count, bits))
             some = count > 0
             at = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), pa.array(count)], ["d", "e", "bands", "z"])
+            four = pa.array(np.arange(len(count) + 1, dtype=np.int32) * 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), pa.array(count), pa.ListArray.from_arrays(four, pa.array(bits))], ["d", "e", "bands", "z", "bits"])
 
-    return docs.mapInArrow(run, "d long, e binary, bands array<long>, z long")
+    return docs.mapInArrow(run, "d long, e binary, bands array<long>, z long, bits array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -161,9 +172,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def differences(beside: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Finer buckets for nodes n beside hubs p, and links (a, b) between the two. beside: (n, p); nodes: (n, c, z, hub).
+    """Finer buckets for nodes n beside hubs p, and links (a, b) between the two. beside: (n, p); nodes: (n, c, z, hub), and bits if there are.
 
-    Buckets are rows (b, n, c, z, hub, p, asks, answers); of two nodes of a bucket one must ask and the other answer.
+    Buckets are rows (b, n, c, z, hub, bits, p, asks, answers); of two nodes of a bucket one must ask and the other answer.
     With q = threshold / (1 + threshold), x and y are similar if they share q (|x| + |y|) shingles. A(x) is what x
     gained against p, B(x) what it lost. Of similar x and y that aren't both similar to p (x isn't, say),
     either A(x) and A(y) share something, and then at least |A(x)| - (1 - threshold) |x|, and likewise for y;
@@ -219,8 +230,9 @@ def differences(beside: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
     one = Window.partitionBy("n", "p", "kind")
     place = F.row_number().over(one.orderBy("often", "s")) + F.col("total") - F.count(F.lit(1)).over(one)
     rows = shared.withColumn("place", place).select("n", "p", F.xxhash64("p", "kind", "s").alias("b"), (F.col("place") <= F.col("ask")).alias("asks"), (F.col("place") <= F.col("reply")).alias("answers"))
-    rows = rows.where("asks or answers").join(nodes, "n").select("b", "n", "c", "z", "hub", "p", "asks", "answers")
-    return rows, links
+    # the checkpoint keeps the join from being run again for each use of the rows
+    rows = cut(rows.where("asks or answers"))
+    return rows.join(nodes, "n").select("b", *nodes.columns, "p", "asks", "answers"), links
 
 
 def _apart(rows: DataFrame) -> DataFrame:
@@ -231,9 +243,13 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket and different components that one asks and the other answers, if their sizes allow a link."""
-    one, two = rows.where("asks").select("b", *(F.col(x).alias(f"{x}1") for x in ("n", "c", "z", "answers"))), rows.where("answers").select("b", *(F.col(x).alias(f"{x}2") for x in ("n", "c", "z", "asks")))
+    """Pairs of one bucket and different components that one asks and the other answers, if their sizes, and their parities if there are bits, allow a link."""
+    both = ("n", "c", "z", *(x for x in rows.columns if x == "bits"))
+    one, two = rows.where("asks").select("b", *(F.col(x).alias(f"{x}1") for x in (*both, "answers"))), rows.where("answers").select("b", *(F.col(x).alias(f"{x}2") for x in (*both, "asks")))
     met = one.join(two, "b").where("c1 <> c2 and (n1 < n2 or not (answers1 and asks2))").where(F.least("z1", "z2") >= threshold * F.greatest("z1", "z2"))
+    if "bits" in both:
+        apart = sum((F.bit_count(F.col("bits1")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(4)), F.lit(0))
+        met = met.where(apart <= (1 - threshold) / (1 + threshold) * (F.col("z1") + F.col("z2")) + 1e-6)
     return met.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
 
 
@@ -243,7 +259,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.unhex(F.md5(text)).alias("e"), text.alias("text"))
     sketch = cut(sketches(ids, bands, rows, words))
     # the checkpoint settles the texts' numbers
-    texts = sketch.groupBy("e").agg(F.min("d").alias("d"), *(F.first(c).alias(c) for c in ("bands", "z"))).where(F.size("bands") > 0)
+    texts = sketch.groupBy("e").agg(F.min("d").alias("d"), *(F.first(c).alias(c) for c in ("bands", "z", "bits"))).where(F.size("bands") > 0)
     texts = cut(texts.withColumn("n", F.monotonically_increasing_id()))
     met = texts.select("n", "z", F.explode("bands").alias("b"))
     met = cut(met.join(met.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "b"))
@@ -263,10 +279,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     found = found.join(hubs, "c").select("n", "c", "hub")
     anchor = tried.groupBy("n").agg(F.max_by("h.n", F.struct("h.w", "h.n")).alias("anchor")).join(found.select(F.col("n").alias("anchor"), F.col("hub").alias("theirs")), "anchor", "left")
     nodes = popular.join(found, "n", "left").join(anchor, "n", "left")
-    nodes = cut(nodes.select("n", F.coalesce("c", "n").alias("c"), "z", F.coalesce("hub", "theirs", "anchor", "n").alias("hub")))
+    nodes = nodes.join(texts.select("n", "bits"), "n")
+    nodes = cut(nodes.select("n", F.coalesce("c", "n").alias("c"), "z", "bits", F.coalesce("hub", "theirs", "anchor", "n").alias("hub")))
     links = found.where("n <> c").select(F.col("n").alias("a"), F.col("c").alias("b"))
-    yes, done = F.lit(True), None
-    part = met.select("b", "n").join(nodes, "n").select("b", "n", "c", "z", "hub", F.lit(None).cast("long").alias("p"), yes.alias("asks"), yes.alias("answers"))
+    yes, used = F.lit(True), None
+    part = met.select("b", "n").join(nodes, "n").select("b", "n", "c", "z", "bits", "hub", F.lit(None).cast("long").alias("p"), yes.alias("asks"), yes.alias("answers"))
     for level in range(LEVELS + 1):
         part = cut(_apart(part))
         if part.isEmpty():
@@ -275,16 +292,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         # little is lost
         tops = part.where(F.col("load") > (split if level else full)).groupBy("b", "hub").agg(F.count(F.lit(1)).alias("many"), F.first("p").alias("p"), F.min(F.struct("z", "n")).alias("small"))
         tops = tops.groupBy("b").agg(F.max_by("hub", F.struct("many", "hub")).alias("hub"), F.first("p").alias("p"), F.min("small").alias("small"))
-        tops = cut(tops.select("b", F.when(F.col("hub").eqNullSafe(F.col("p")), F.col("small.n")).otherwise(F.col("hub")).alias("by")))
+        tops = tops.select("b", F.when(F.col("hub").eqNullSafe(F.col("p")), F.col("small.n")).otherwise(F.col("hub")).alias("by"))
+        # a node that was a hub at an earlier level would make the same buckets again, or miss those that it was held
+        # against then: such buckets are compared pair by pair
+        tops = cut(tops if used is None else tops.join(used, "by", "left_anti"))
         last = level == LEVELS or tops.isEmpty()
         pairs = cut(_pairs(part if last else part.join(tops, "b", "left_anti"), threshold))
         if not pairs.isEmpty():
             links = links.union(cut(verified(pairs, sets, threshold)))
         if last:
             break
-        beside = part.join(tops, "b").where("n <> by").select("n", F.col("by").alias("p")).distinct()
-        beside = cut(beside if done is None else beside.join(done, ["n", "p"], "left_anti"))
-        done = beside if done is None else done.union(beside)
+        beside = cut(part.join(tops, "b").where("n <> by").select("n", F.col("by").alias("p")).distinct())
+        used = tops.select("by").distinct() if used is None else used.union(tops.select("by").distinct())
         part, more = differences(beside, nodes, sets, threshold)
         links = links.union(more)
         free(docs.sparkSession)
