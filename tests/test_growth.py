@@ -28,3 +28,11 @@ def test_merge_sorts_by_a_hash_and_keeps_the_order_once(spark):
     text = plan(merge.merge(observations(spark, "x")).select("title", "asset", "location"))
     assert re.search(r"Aggregate\(key=\[h#", text)
     assert text.count("partial_min") == 1 and "min_by" not in text
+
+
+def test_ranking_reads_merged_findings_once(spark):
+    from vetstone.plans.registry import QUERIES
+
+    for name in ("findings_ranked", "secret_findings_ranked"):
+        text = plan(QUERIES[name](spark, SF))
+        assert re.search(r"Exchange rangepartitioning[^\n]*\n[^\n]*Exchange hashpartitioning\(finding_id#", text), name
