@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vetstone import schema as S
 from vetstone.functions import versions as V
-from vetstone.operators import advisories, merge
+from vetstone.operators import advisories, enrich, merge
 from vetstone.sources import feeds
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +77,16 @@ def test_advisories_judge_semantic_versions_natively(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
     text = plan(advisories.match(packages.where("ecosystem = 'npm'").withColumn("ecosystem", F.lit("npm")), osv))
     assert "judged" not in text and "keyed" in text
+
+
+def test_exploit_lookup_joins_once_and_collects_nothing(spark):
+    from vetstone.plans.registry import QUERIES
+
+    text = plan(QUERIES["exploit_signals"](spark, SF))
+    assert len(re.findall(r"HashJoin|SortMergeJoin", text)) == 1 and "collect_set" not in text
+    found = spark.createDataFrame([("a", ["CVE-2", "CVE-2", "CVE-1"]), ("a", ["G-1"]), ("b", []), ("c", None), ("d", ["G-1", None])], "k string, aliases array<string>")
+    kev = spark.createDataFrame([("CVE-2",), ("CVE-2",), (None,)], "cve string")
+    epss = spark.createDataFrame([("CVE-1", 0.9, 1), ("CVE-1", 0.2, 2), ("G-1", 0.1, 1), (None, 0.8, 1)], "cve string, epss double, ordinal int")
+    got = {tuple(r) for r in enrich.exploit(found, "k", F.col("aliases"), kev, epss).collect()}
+    assert got == {("a", True, 0.2, "CVE-1"), ("b", False, None, None), ("c", False, None, None), ("d", False, 0.1, None)}
+    assert {r.epss for r in enrich.exploit(found, "k", F.col("aliases"), kev, epss.drop("ordinal")).collect()} == {0.9, 0.1, None}

@@ -18,15 +18,18 @@ def exploit(findings: DataFrame, key: str, aliases: Column, kev: DataFrame, epss
     (cve, epss), the smallest CVE among them.
 
     Of an EPSS feed's rows of one CVE the last holds, by `ordinal` if it has one, else the greatest. Rows of one key
-    share their lookups.
+    share their lookups; an alias that comes twice changes nothing in them, so none is sought out. Both feeds are one
+    table to look up in.
     """
-    each = findings.select(key, F.explode_outer(aliases).alias("cve")).distinct()
-    listed = _small(kev.select("cve").distinct().withColumn("listed", F.lit(True)))
-    last = F.max_by("epss", "ordinal") if "ordinal" in epss.columns else F.max("epss")
-    likely = _small(epss.groupBy("cve").agg(last.alias("epss")))
-    met = each.join(listed, "cve", "left").join(likely, "cve", "left")
+    each = findings.select(key, F.explode_outer(aliases).alias("cve"))
+    ordered = "ordinal" in epss.columns
+    own = [F.lit(None).cast(epss.schema[c].dataType).alias(c) for c in ("epss", *(["ordinal"] if ordered else []))]
+    feeds = kev.select("cve", F.lit(True).alias("listed"), *own).unionByName(epss.select("cve", F.lit(None).cast("boolean").alias("listed"), "epss", *(["ordinal"] if ordered else [])))
+    last = F.max_by("epss", "ordinal") if ordered else F.max("epss")
+    known = _small(feeds.groupBy("cve").agg(F.bool_or("listed").alias("listed"), last.alias("epss")))
     named = F.min(F.when(F.col("cve").startswith("CVE-"), F.col("cve")))
-    return met.groupBy(key).agg(F.coalesce(F.bool_or("listed"), F.lit(False)).alias("in_kev"), F.max("epss").alias("epss"), named.alias("canonical"))
+    # the smallest of texts is found by sorting: over the rows of a shuffle's partition, which are fewer than a file's part
+    return each.join(known, "cve", "left").repartition(key).groupBy(key).agg(F.coalesce(F.bool_or("listed"), F.lit(False)).alias("in_kev"), F.max("epss").alias("epss"), named.alias("canonical"))
 
 
 def cve_aliases(evidence: Column) -> Column:
