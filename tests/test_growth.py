@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vetstone import schema as S
 from vetstone.functions import versions as V
 from vetstone.operators import advisories, enrich, merge
-from vetstone.sources import feeds
+from vetstone.sources import feeds, reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,3 +90,13 @@ def test_exploit_lookup_joins_once_and_collects_nothing(spark):
     got = {tuple(r) for r in enrich.exploit(found, "k", F.col("aliases"), kev, epss).collect()}
     assert got == {("a", True, 0.2, "CVE-1"), ("b", False, None, None), ("c", False, None, None), ("d", False, 0.1, None)}
     assert {r.epss for r in enrich.exploit(found, "k", F.col("aliases"), kev, epss.drop("ordinal")).collect()} == {0.9, 0.1, None}
+
+
+def test_sarif_round_trip_sorts_nothing_and_keeps_all_runs(spark):
+    from vetstone.plans.registry import QUERIES
+
+    text = plan(QUERIES["sarif_round_trip"](spark, SF))
+    assert "Exchange" not in text and text.count("Generate ") == 1
+    result = lambda k: '{"properties":{"vetstone/finding":{"finding_id":"%s"}}}' % k
+    docs = ['{"runs":[{"results":[%s,%s,{}]},{"results":null},{},null,{"results":[{"properties":null},%s]}]}' % tuple(map(result, "abc")), '{"runs":null}', "{}", "not JSON", None, '{"runs":[{"results":[%s]}]}' % result("d")]
+    assert sorted(r.finding_id for r in reports.findings(spark.createDataFrame([(d,) for d in docs], "report string")).collect()) == ["a", "b", "c", "d"]

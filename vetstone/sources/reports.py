@@ -65,9 +65,8 @@ def sarif(reports: DataFrame) -> DataFrame:
 def findings(reports: DataFrame) -> DataFrame:
     """The findings that this engine's own SARIF documents carry whole: what was written, without loss."""
     schema = f"runs array<struct<results:array<struct<properties:struct<`{WHOLE}`:struct<{S.FINDING}>>>>>>"
-    results = reports.select(F.explode(F.from_json("report", schema)["runs"]).alias("run")).select(F.explode("run.results").alias("r"))
-    whole = results.select(F.col(f"r.properties.`{WHOLE}`").alias("f"))
-    return whole.where("f.finding_id is not null").select("f.*")
+    results = F.flatten(F.array_compact(F.from_json("report", schema)["runs"]["results"]))
+    return reports.select(F.explode(results["properties"][WHOLE]).alias("f")).where("f.finding_id is not null").select("f.*")
 
 
 def as_observations(found: DataFrame) -> DataFrame:
