@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vetstone import schema as S
+from vetstone.functions import hashing
 from vetstone.functions import versions as V
 from vetstone.operators import advisories, enrich, merge
 from vetstone.sources import feeds, reports
@@ -100,3 +101,15 @@ def test_sarif_round_trip_sorts_nothing_and_keeps_all_runs(spark):
     result = lambda k: '{"properties":{"vetstone/finding":{"finding_id":"%s"}}}' % k
     docs = ['{"runs":[{"results":[%s,%s,{}]},{"results":null},{},null,{"results":[{"properties":null},%s]}]}' % tuple(map(result, "abc")), '{"runs":null}', "{}", "not JSON", None, '{"runs":[{"results":[%s]}]}' % result("d")]
     assert sorted(r.finding_id for r in reports.findings(spark.createDataFrame([(d,) for d in docs], "report string")).collect()) == ["a", "b", "c", "d"]
+
+
+def test_hashing_pads_each_row_once():
+    class Row(bytes):
+        padded = 0
+
+        def ljust(self, *x):
+            Row.padded += 1
+            return super().ljust(*x)
+
+    rows = [Row(b"x" * n) for n in (0, 64, 65, 200, 1024)]
+    assert hashing.blake3_many(rows) == [hashing.blake3(bytes(r)) for r in rows] and Row.padded == len(rows)
